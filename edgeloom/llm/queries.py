@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .tables import read
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_dedup
+
+    return near_dedup(read(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +44,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality": op6_quality,
     "op8_mixing": op8_mixing,
