@@ -146,7 +146,8 @@ def plan(docs: DataFrame, seed: int = 1, weights: tuple = WEIGHTS, cap: int = CA
 
 def _with_uses(parts: dict[str, DataFrame]) -> DataFrame:
     uses = parts["slots"].groupBy("block").agg(F.count(F.lit(1)).alias("uses"))
-    return parts["fragments"].join(uses, "block", "left").withColumn("uses", F.coalesce("uses", F.lit(0).cast("long")))
+    # The planner guesses the slots' size from the few rows they are made of, so the join is named.
+    return parts["fragments"].join(uses.hint("merge"), "block", "left").withColumn("uses", F.coalesce("uses", F.lit(0).cast("long")))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
