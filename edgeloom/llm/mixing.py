@@ -100,7 +100,8 @@ def _slots(sources: DataFrame, seed: int) -> DataFrame:
                 at = permuted(r["first_slot"] + i, r["slots_total"], seed)
                 yield pa.RecordBatch.from_pydict({"shard": at // SHARD_SLOTS, "slot": at % SHARD_SLOTS, "block": r["first_block"] + block})
 
-    return chunks.repartition("rank", "chunk").mapInArrow(deal, "shard long, slot long, block long")
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chunks.repartition(n, "rank", "chunk").mapInArrow(deal, "shard long, slot long, block long")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
