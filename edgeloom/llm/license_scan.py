@@ -46,7 +46,7 @@ SENTENCES = {
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "bsd-names": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "bsd-notice": ["Licensed under the BSD License", "Released under the BSD License", "Licensed under the BSD 3-Clause License"],
-    "mpl-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, version 2.0"],
+    "mpl-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v", "Licensed under the Mozilla Public License, version 2.0"],
     "unlicense": ["This is free and unencumbered software released into the public domain"],
     "cc0-notice": ["Licensed under CC0 1.0", "Released under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work"],
     **{f"cc-{kind.lower()}-notice": [f"Licensed under CC {kind} {v}" for v in ("2.0", "3.0", "4.0")] + [f"This work is licensed under CC {kind} 4.0"] for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
