@@ -14,8 +14,9 @@ a component is what links reach, and its smallest id is kept.
    than ``LEAST_AGREEMENT`` (a pair at 0.75 does once in 200,000 times) go, the best one of each document is
    verified on the full sets, and links are grouped.
 4. What one leader can't show: buckets that still hold more than one component compare all signatures across
-   components, in blocks of ``BLOCK`` members, first for the best partner of each document, then for all pairs
-   left, which are verified as well. So no bucket is capped.
+   components, in blocks of ``BLOCK`` members and ``BLOCK_ITEMS`` shingles at most on average, and verify the pairs that
+   agree on the full sets in the same place; only links that join components leave it. So no bucket is capped, and
+   none emits its pairs.
 
 Defined results: a null or empty text, or one without words, has an empty set and is its own component; a null
 id links with nothing; rows with equal ids are one document that has the links of all of them, and each gives a
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import Forest, components
 from .tables import Workspace
 from .words import WordHashes
 
@@ -43,6 +44,7 @@ ROWS = 4
 BANDS = REGISTERS // ROWS
 LEAST_AGREEMENT = 0.58
 BLOCK = 1024
+BLOCK_ITEMS = 1 << 20
 BATCH = 1 << 18
 
 _K = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # fixed values: the constants of splitmix64
@@ -171,65 +173,92 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, share double")
 
 
-def _across(rows: DataFrame, best: bool) -> DataFrame:
-    """rows: key, i, j (blocks), part, id, root, n, bands, in partitions by and in the order of the first
-    three. Pairs of one group that differ in root and may reach 0.75, each in the first band that they share;
-    with ``best``, only the best partner of each document."""
-
-    def compare(ids, roots, sizes, signed, first, second) -> tuple[np.ndarray, np.ndarray]:
-        found = []
-        short = signed.view(np.uint16).reshape(-1, REGISTERS)
-        for at in range(0, len(first), 64):
-            x = first[at : at + 64]
-            share = np.zeros((len(x), len(second)), np.uint8)
-            for lane in range(REGISTERS):
-                share += short[x, lane][:, None] == short[second, lane][None, :]
-            good = share >= LEAST_AGREEMENT * REGISTERS
-            good &= roots[x][:, None] != roots[second][None, :]
-            good &= 4 * np.minimum(sizes[x][:, None], sizes[second][None, :]) >= 3 * np.maximum(sizes[x][:, None], sizes[second][None, :])
-            if best and good.any():
-                top = np.where(good, share, 0)
-                for axis in (0, 1):
-                    where = top.argmax(axis=1 - axis)
-                    own = np.arange(len(where))
-                    p, q = (own, where) if axis == 0 else (where, own)
-                    ok = good[p, q]
-                    found.append((x[p[ok]], second[q[ok]], share[p[ok], q[ok]]))
-            else:
-                p, q = np.nonzero(good)
-                found.append((x[p], second[q], share[p, q]))
-        a, b, s = (np.concatenate([f[k] for f in found]) for k in range(3))
-        return ids[a], ids[b], s / REGISTERS
-
-    def group(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(rows)
-        ids, roots, sizes = (table.column(k).to_numpy() for k in ("id", "root", "n"))
-        part = table.column("part").to_numpy()
-        signed = np.concatenate([c.flatten().to_numpy() for c in table.column("bands").chunks]).reshape(len(ids), BANDS)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        at = np.arange(len(ids))
-        a, b, s = compare(ids, roots, sizes, signed, at[part == i], at[part == j])
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        yield pa.RecordBatch.from_pydict({"a": low, "b": high, "share": s})
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each group of equal first columns, which must follow each other."""
+    held, now = [], None
+    for batch in batches:
+        columns = np.stack([batch.column(k).to_numpy() for k in range(keys)])
+        cuts = [0, *(np.nonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0))[0] + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            key = tuple(columns[:, lo])
+            if held and key != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _open_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of two documents of a block pair that differ in root and may reach 0.75, and share no earlier
+    band: of any two that may, one group of all has them."""
+    roots, sizes, part = (table.column(k).to_numpy() for k in ("root", "n", "part"))
+    signed = np.concatenate([c.flatten().to_numpy() for c in table.column("bands").chunks]).reshape(-1, BANDS)
+    short = signed.view(np.uint16)
+    i, j, band = (table.column(k)[0].as_py() for k in ("i", "j", "band"))
+    first, second = np.nonzero(part == i)[0], np.nonzero(part == j)[0]
+    for at in range(0, len(first), 64) if len(second) else ():
+        x = first[at : at + 64]
+        share = np.zeros((len(x), len(second)), np.uint8)
+        for lane in range(REGISTERS):
+            share += short[x, lane][:, None] == short[second, lane][None, :]
+        good = share >= LEAST_AGREEMENT * REGISTERS
+        good &= roots[x][:, None] != roots[second][None, :]
+        good &= 4 * np.minimum(sizes[x][:, None], sizes[second][None, :]) >= 3 * np.maximum(sizes[x][:, None], sizes[second][None, :])
+        p, q = np.nonzero(good)
+        here = (signed[x[p]] == signed[second[q]]).argmax(axis=1) == band
+        yield x[p[here]], second[q[here]]
+
+
+def _needed(rows: DataFrame) -> DataFrame:
+    """Of key, i, j, part, band, id, root, n, bands, the rows that are in an open pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
-            cuts = [0, *(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
+        for table in grouped(batches, 3):
+            some = np.zeros(table.num_rows, bool)
+            for p, q in _open_pairs(table):
+                some[p] = some[q] = True
+            yield from table.filter(pa.array(some)).combine_chunks().to_batches()
+
+    columns = ["key", "i", "j", "part", "band", "id", "root", "n", "bands"]
+    return rows.select(*columns).mapInArrow(run, rows.select(*columns).schema)
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """Of the same columns and items, the full sets: u, v, links that join the components of a group. A pair
+    already joined by others isn't looked at; so there are fewer links than documents."""
+
+    def links(table: pa.Table) -> Iterator[tuple[int, int]]:
+        ids, roots, sizes = (table.column(k).to_numpy() for k in ("id", "root", "n"))
+        chunks = table.column("items").combine_chunks()
+        items, ends = np.unique(chunks.flatten().to_numpy(), return_inverse=True)[1], np.cumsum(sizes)
+        held = np.zeros(items.max(initial=0) + 1, bool)
+        forest = Forest()
+        for p, q in _open_pairs(table):
+            order = np.argsort(p, kind="stable")
+            p, q = p[order], q[order]
+            for x, others in zip(*(lambda u, at: (u, np.split(q, at[1:])))(*np.unique(p, return_index=True)), strict=True):
+                others = np.array([o for o in others if forest.find(int(roots[o])) != forest.find(int(roots[x]))], np.int64)
+                if not len(others):
                     continue
-                key = tuple(keys[:, lo])
-                if held and key != now:
-                    yield from group(held)
-                    held = []
-                now = key
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from group(held)
+                own = items[ends[x] - sizes[x] : ends[x]]
+                held[own] = True
+                for o in others:
+                    both = int(held[items[ends[o] - sizes[o] : ends[o]]].sum())
+                    if 100 * both >= 75 * (sizes[x] + sizes[o] - both) and forest.find(int(roots[o])) != forest.find(int(roots[x])):
+                        forest.union(int(roots[o]), int(roots[x]))
+                        yield int(ids[x]), int(ids[o])
+                held[own] = False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, 3):
+            found = list(links(table))
+            yield pa.RecordBatch.from_pydict({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
-    return rows.select("key", "i", "j", "part", "id", "root", "n", "bands").mapInArrow(run, "a long, b long, share double")
+    return rows.select("key", "i", "j", "part", "band", "id", "root", "n", "bands", "items").mapInArrow(run, "u long, v long")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -249,60 +278,58 @@ class Dedup:
         self.classes = self.ws.keep(known.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "classes")
         rep = self.classes.select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), "rep")
         self.reps = self.ws.keep(known.join(rep, (known["f1"] == rep["c1"]) & (known["f2"] == rep["c2"]) & (known["id"] == rep["rep"])).select("id", "n", "f1", "f2", "bands").dropDuplicates(["f1", "f2"]), "reps")
-        self.turn = 0
-        self.links: DataFrame | None = None
 
     def buckets(self) -> DataFrame:
-        """key, id, lead: the members of the buckets of two or more, and the smallest id of each."""
-        members = self.reps.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "id")
+        """key, band, id, lead: the members of the buckets of two or more, and the smallest id of each."""
+        members = self.reps.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "band", "id")
         leads = members.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
         leads = self.ws.keep(leads, "leads")
         return self.ws.keep(members.join(leads, "key"), "buckets")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """a, b -> those whose full sets are linked."""
-        self.turn += 1
-        pairs = self.ws.keep(pairs, f"pairs-{self.turn}")
-        ids = self.ws.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"ids-{self.turn}")
-        sets = self.ws.keep(_sets(self.texts.join(ids, "id", "left_semi")), f"sets-{self.turn}")
+    def sets_of(self, ids: DataFrame, name: str) -> DataFrame:
+        ids = self.ws.keep(ids.select("id").distinct(), f"ids-{name}")
+        return self.ws.keep(_sets(self.texts.join(ids, "id", "left_semi")), f"sets-{name}")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """a, b -> u, v, those whose full sets are linked."""
+        pairs = self.ws.keep(pairs, "pairs")
+        sets = self.sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), "pairs")
         left = sets.select(F.col("id").alias("a"), F.col("items").alias("xa"))
         right = sets.select(F.col("id").alias("b"), F.col("items").alias("xb"))
         both = F.size(F.array_intersect("xa", "xb"))
         joined = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("xa") + F.size("xb")).alias("sum"))
-        links = self.ws.keep(joined.filter("100L * both >= 75L * (sum - both)").select(F.col("a").alias("u"), F.col("b").alias("v")), f"links-{self.turn}")
-        self.ws.drop(f"sets-{self.turn}", f"ids-{self.turn}", f"pairs-{self.turn}")
+        links = self.ws.keep(joined.filter("100L * both >= 75L * (sum - both)").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        self.ws.drop("sets-pairs", "ids-pairs", "pairs")
         return links
 
-    def group(self, links: DataFrame) -> DataFrame:
-        self.links = links if self.links is None else self.links.union(links)
-        return self.ws.keep(components(self.links, self.ws, f"group-{self.turn}"), f"roots-{self.turn}")
-
-    def across(self, buckets: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
-        """Pairs of a bucket in different components."""
-        rooted = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        rooted = self.ws.keep(rooted, f"rooted-{self.turn}")
-        mixed_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi")
-        mixed_ = self.ws.keep(mixed_.select("key", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}").alias("parts")), f"mixed-{self.turn}")
-        part = F.pmod(F.xxhash64("id"), F.col("parts"))
-        rows = rooted.join(mixed_, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        rows = rows.select("key", "id", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        rows = rows.join(self.reps.select("id", "n", "bands"), "id")
+    def across(self, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+        """u, v: links between components that share a bucket."""
+        rooted = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("root"))
+        rooted = self.ws.keep(rooted.join(self.reps.select("id", "n"), "id"), "rooted")
+        several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("items")).filter("lo < hi")
+        several = self.ws.keep(several.select("key", F.expr(f"greatest((members + {BLOCK - 1}) div {BLOCK}, (items + {BLOCK_ITEMS - 1}) div {BLOCK_ITEMS})").alias("parts")), "several")
+        rows = rooted.join(several, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        rows = rows.select("key", "band", "id", "root", "n", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        rows = rows.join(self.reps.select("id", "bands"), "id")
         n = int(self.ws.spark.conf.get("spark.sql.shuffle.partitions"))
-        pairs = _across(rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j"), best)
-        return _best(pairs) if best else pairs.select("a", "b").distinct()
+        together = lambda df: df.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        needed = self.ws.keep(_needed(together(rows)), "needed")
+        sets = self.sets_of(needed, "needed")
+        links = self.ws.keep(_linked(together(needed.join(sets, "id"))), "links-across")
+        self.ws.drop("rooted", "several", "needed", "sets-needed", "ids-needed")
+        return links
 
     def run(self) -> DataFrame:
         buckets = self.buckets()
         sigs = self.reps.select("id", "n", "bands")
         stars = buckets.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
         stars = stars.join(sigs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bands").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("sb")), "b")
-        roots = self.group(self.verify(_best(_agreeing(stars.select("a", "b", "na", "nb", "sa", "sb")))))
-        for best in (True, False):
-            pairs = self.ws.keep(self.across(buckets, roots, best), f"across-{self.turn}")
-            if pairs.isEmpty():
-                break
-            roots = self.group(self.verify(pairs))
-        return roots
+        links = self.verified(_best(_agreeing(stars.select("a", "b", "na", "nb", "sa", "sb"))))
+        roots = self.ws.keep(components(links, self.ws, "stars"), "roots")
+        more = self.across(buckets, roots)
+        if more.isEmpty():
+            return roots
+        return components(links.union(more), self.ws, "all")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
