@@ -1,9 +1,10 @@
 """Connected components by union-find grouping in partitions and contraction between them.
 
 Each round first replaces the edges of every partition by a spanning forest (union-find), then contracts each
-node into the neighbour that comes first in a hashed order drawn anew for the round; the edges between
-contracted nodes go on to the next round. A constant share of nodes goes in each round whatever the shape of the
-graph, so chains need a logarithmic number of rounds, and stars one or two. Nothing is gathered on the driver; every
+node into the neighbour that comes first, in odd rounds by number and in even ones in a hashed order drawn anew;
+the edges between contracted nodes go on to the next round. The forests are stars around their smallest nodes,
+which an odd round contracts at once; an even round contracts a constant share of nodes whatever the shape of the
+graph, so chains need a logarithmic number of rounds. Nothing is gathered on the driver; every
 round is a written table. Joins are between written tables, so adaptive execution may split hot keys.
 """
 
@@ -76,11 +77,11 @@ def components(edges: DataFrame, ws: Workspace, name: str = "components") -> Dat
     while not edges.isEmpty():
         turn += 1
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # The neighbour that comes first in this round's order, or the node itself: the order is that of a
-        # hash that is one to one for 64 bits, so that its smallest value names the node.
-        order = lambda c: _scrambled(F.col(c), turn)  # noqa: E731, B023
-        best = both.groupBy("u").agg(F.min(order("v")).alias("w")).select("u", F.least("w", order("u")).alias("w"))
-        best = ws.keep(best.select("u", _unscrambled(F.col("w"), turn).alias("p")), f"{name}-parents-{turn}")
+        # The neighbour that comes first in this round's order, or the node itself. The hashed order is that of
+        # a map that is one to one for 64 bits, so that its smallest value names the node.
+        there, back = (lambda c, t: c, lambda c, t: c) if turn % 2 else (_scrambled, _unscrambled)
+        best = both.groupBy("u").agg(F.min(there(F.col("v"), turn)).alias("w")).select("u", F.least("w", there(F.col("u"), turn)).alias("w"))
+        best = ws.keep(best.select("u", back(F.col("w"), turn).alias("p")), f"{name}-parents-{turn}")
         parents.append(best)
         by_u = edges.join(best, "u").select(F.col("v"), F.col("p").alias("a"))
         ends = by_u.join(best.withColumnRenamed("u", "v"), "v").select(F.col("a").alias("u"), F.col("p").alias("v"))
