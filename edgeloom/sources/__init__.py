@@ -1 +1 @@
-""""""
+"""Readers, writers, selectors and generators."""
