@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _half(values: pd.Series) -> pd.Series:
     with np.errstate(over="ignore"):
         return pd.Series(values.to_numpy(np.float64).astype(np.float16).astype(np.float64))

@@ -10,15 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GRAPHS = T.StructType.fromDDL("graph_id string, name string, type string, num_nodes bigint, sparsity double")
-EDGES = T.StructType.fromDDL("graph_id string, i bigint, k bigint, v float")
-FEATURES = T.StructType.fromDDL("graph_id string, k bigint, j int, w float")
-FEATURES_WIDE = T.StructType.fromDDL("graph_id string, k bigint, x array<float>")
-ASSIGNMENTS = T.StructType.fromDDL("graph_id string, node bigint, cluster int")
-CATALOGUE = T.StructType.fromDDL("id int, name string, `group` string, rows bigint, cols bigint, nnz bigint, sparsity double, kind string, is2d3d boolean, isSPD boolean")
-RESULTS = T.StructType.fromDDL("method string, graph_idx string, graph_name string, graph_type string, date string, num_nodes bigint, sparsity double, is_correct boolean, metrics map<string,map<string,struct<value:double,unit:string>>>")
-RESULTS_FLAT = T.StructType.fromDDL("graph_index string, graph_name string, graph_type string, method string, time_seconds double, date string, num_nodes bigint, sparsity double, memory_peak_mb double, time_std double")
-METRIC_SAMPLES = T.StructType.fromDDL("method string, graph_idx string, `range` string, metric string, action_id int, value double, value_str string, unit string")
+_STRING, _LONG, _INT, _DOUBLE, _FLOAT, _BOOL = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.FloatType(), T.BooleanType()
+
+
+def _table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+METRIC_TREE = T.MapType(_STRING, T.MapType(_STRING, _table(value=_DOUBLE, unit=_STRING)))
+
+GRAPHS = _table(graph_id=_STRING, name=_STRING, type=_STRING, num_nodes=_LONG, sparsity=_DOUBLE)
+EDGES = _table(graph_id=_STRING, i=_LONG, k=_LONG, v=_FLOAT)
+FEATURES = _table(graph_id=_STRING, k=_LONG, j=_INT, w=_FLOAT)
+FEATURES_WIDE = _table(graph_id=_STRING, k=_LONG, x=T.ArrayType(_FLOAT))
+ASSIGNMENTS = _table(graph_id=_STRING, node=_LONG, cluster=_INT)
+CATALOGUE = _table(id=_INT, name=_STRING, group=_STRING, rows=_LONG, cols=_LONG, nnz=_LONG, sparsity=_DOUBLE, kind=_STRING, is2d3d=_BOOL, isSPD=_BOOL)
+RESULTS = _table(method=_STRING, graph_idx=_STRING, graph_name=_STRING, graph_type=_STRING, date=_STRING, num_nodes=_LONG, sparsity=_DOUBLE, is_correct=_BOOL, metrics=METRIC_TREE)
+RESULTS_FLAT = _table(graph_index=_STRING, graph_name=_STRING, graph_type=_STRING, method=_STRING, time_seconds=_DOUBLE, date=_STRING, num_nodes=_LONG, sparsity=_DOUBLE, memory_peak_mb=_DOUBLE, time_std=_DOUBLE)
+METRIC_SAMPLES = _table(method=_STRING, graph_idx=_STRING, range=_STRING, metric=_STRING, action_id=_INT, value=_DOUBLE, value_str=_STRING, unit=_STRING)
 
 
 class ShapeError(ValueError):
