@@ -63,18 +63,16 @@ def salted(a: DataFrame, x: DataFrame, hot: int = HOT_PRODUCTS, salts: int = SAL
 
 
 def wide(a: DataFrame, x: DataFrame) -> DataFrame:
-    """X as arrays: one row for each (i, k) pair through the join, and one sum for each place. For narrow X of a
-    fixed width."""
-    from .structure import widen
-
-    arrays = widen(x.select("k", "j", F.col("w").cast("double").alias("w")))
-    width = arrays.agg(F.max(F.size("x"))).first()[0] or 0
-    if not width:
-        return auto(a, x)
-    sums = [F.sum(F.col("v") * F.get("x", F.lit(j))).alias(f"s{j}") for j in range(width)]
+    """X as arrays with a place for each j: one row for each (i, k) pair through the join, and one sum for each
+    place. For narrow X."""
+    whole = _whole(a, x)
+    kind = "bigint" if whole else "double"
+    width = (x.agg(F.max("j")).first()[0] or 0) + 1
+    cells = F.map_from_entries(F.collect_list(F.struct(F.col("j").cast("int"), F.col("w").cast(kind))))
+    arrays = x.groupBy("k").agg(cells.alias("c")).select("k", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.try_element_at("c", j)).alias("x"))
+    sums = [F.sum(F.col("v").cast(kind) * F.get("x", F.lit(j))).cast(kind).alias(f"s{j}") for j in range(width)]
     out = a.join(arrays, "k").groupBy("i").agg(*sums)
-    cells = out.select("i", F.posexplode(F.array(*[f"s{j}" for j in range(width)])).alias("j", "val")).filter("val is not null")
-    return cells.withColumn("val", F.col("val").cast("bigint")) if _whole(a, x) else cells
+    return out.select("i", F.posexplode(F.array(*[f"s{j}" for j in range(width)])).alias("j", "val")).filter("val is not null")
 
 
 def blocked(a: DataFrame, x: DataFrame, tile: int = TILE) -> DataFrame:

@@ -38,10 +38,10 @@ def matrix_market(spark: SparkSession, path: str, folder: bool = False) -> tuple
     first = lines.groupBy("name").agg(F.min_by("value", place).alias("banner"), F.min(F.when(~F.col("value").startswith("%") & (F.trim("value") != ""), F.struct("block", "at", "value"))).alias("size"))
     word = F.split(F.lower("banner"), r"\s+")
     number = F.split(F.trim("size.value"), r"\s+")
-    headers = first.select("name", F.get(word, F.lit(2)).alias("layout"), F.get(word, F.lit(3)).alias("field"), F.get(word, F.lit(4)).alias("symmetry"), F.get(number, F.lit(0)).cast("long").alias("rows"), F.get(number, F.lit(1)).cast("long").alias("cols"), F.get(number, F.lit(2)).try_cast("long").alias("entries"), F.col("size.block").alias("b0"), F.col("size.at").alias("a0"))
+    headers = first.select("name", F.get(word, F.lit(2)).alias("layout"), F.get(word, F.lit(3)).alias("field"), F.get(word, F.lit(4)).alias("symmetry"), F.get(number, F.lit(0)).try_cast("long").alias("rows"), F.get(number, F.lit(1)).try_cast("long").alias("cols"), F.get(number, F.lit(2)).try_cast("long").alias("entries"), F.col("size.block").alias("b0"), F.col("size.at").alias("a0"))
     data = lines.join(headers, "name").filter(~F.col("value").startswith("%") & (F.trim("value") != "") & (F.struct("block", "at") > F.struct("b0", "a0")))
     part = F.split(F.trim("value"), r"\s+")
-    coordinate = data.filter("layout = 'coordinate'").select("name", "symmetry", F.get(part, F.lit(0)).cast("long").alias("i"), F.get(part, F.lit(1)).cast("long").alias("k"), F.coalesce(F.get(part, F.lit(2)).cast("double"), F.lit(1.0)).alias("v"), "block", "at")
+    coordinate = data.filter("layout = 'coordinate'").select("name", "symmetry", F.get(part, F.lit(0)).try_cast("long").alias("i"), F.get(part, F.lit(1)).try_cast("long").alias("k"), F.coalesce(F.get(part, F.lit(2)).try_cast("double"), F.lit(1.0)).alias("v"), "block", "at")
     coordinate = coordinate.withColumns({"i": F.col("i") - 1, "k": F.col("k") - 1})
     # The position of an array's value: those before it in its block, and in the blocks before.
     array = data.filter("layout = 'array'")
@@ -50,7 +50,7 @@ def matrix_market(spark: SparkSession, path: str, folder: bool = False) -> tuple
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     within = F.row_number().over(Window.partitionBy("name", "block").orderBy("at")) - 1
     placed = array.withColumn("p", within).join(sizes, ["name", "block"]).withColumn("p", F.col("p") + F.col("before"))
-    full = placed.select("name", "symmetry", (F.col("p") % F.col("rows")).alias("i"), F.expr("p div rows").alias("k"), F.trim("value").cast("double").alias("v"), "block", "at").filter("v <> 0 and symmetry = 'general'")
+    full = placed.select("name", "symmetry", (F.col("p") % F.col("rows")).alias("i"), F.expr("p div rows").alias("k"), F.trim("value").try_cast("double").alias("v"), "block", "at").filter("v <> 0 and symmetry = 'general'")
     cells = coordinate.unionByName(full)
     sign = F.when(F.col("symmetry") == "skew-symmetric", -1.0).otherwise(1.0)
     back = cells.filter("symmetry <> 'general' and i <> k").select("name", "symmetry", F.col("k").alias("i"), F.col("i").alias("k"), (F.col("v") * sign).alias("v"), "block", "at")
