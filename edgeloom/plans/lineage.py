@@ -1,11 +1,30 @@
-"""Cutting the lineage of iterative plans, in the folder that all executors share."""
+"""Cutting the lineage of iterative plans, in the folder that all executors share; and the package on workers."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Once a session: the package goes to Python workers with Spark's own file server, so that they need neither
+    an installation nor the driver's folders."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped or not PACKAGE.is_dir():
+        return
+    path = f"{tempfile.mkdtemp(prefix='edgeloom-')}/{PACKAGE.name}-package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(PACKAGE.rglob("*.py")):
+            out.write(file, str(file.relative_to(PACKAGE.parent)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, as in tests, a temporary folder."""

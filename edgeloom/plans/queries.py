@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import catalogue, multiply, partition, results, stats, structure, verify
 from ..sources import generators, readers, selectors, sinks
-from .lineage import shared_dir
+from .lineage import shared_dir, ship
 from .views import as_features, embedding_features, nation_nation, part_part, read, supplier_part, transposed_features
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -574,17 +574,20 @@ def er_graph(spark, d):
 
 @query("er_graph_sparse")
 def er_graph_sparse(spark, d):
+    ship(spark)
     return generators.erdos_renyi_sparse(spark, 5000, 0.001)
 
 
 @query("ba_graph")
 def ba_graph(spark, d):
+    ship(spark)
     return generators.scale_free(generators.grid(spark, sizes=(1000, 2000)))
 
 
 @query("ba_feature_spmm")
 def ba_feature_spmm(spark, d):
     """Neighbourhood sums of random features over a scale-free graph."""
+    ship(spark)
     edges = generators.scale_free(generators.grid(spark, sizes=(1000,))).drop("graph_id")
     return multiply.multiply(edges, generators.random_features(_nodes(edges, "i")))
 
