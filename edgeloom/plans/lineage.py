@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,30 +14,35 @@ PACKAGE = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, as in tests, a temporary folder."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="edgeloom-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
-    """Once a session: the package goes to Python workers with Spark's own file server, so that they need neither
+    """Once a session: the package goes through the shared folder to the Python workers, so that they need neither
     an installation nor the driver's folders."""
     context = spark.sparkContext
     if context.applicationId in _shipped or not PACKAGE.is_dir():
         return
-    path = f"{tempfile.mkdtemp(prefix='edgeloom-')}/{PACKAGE.name}-package.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
         for file in sorted(PACKAGE.rglob("*.py")):
             out.write(file, str(file.relative_to(PACKAGE.parent)))
+    path = f"{shared_dir(spark)}/{PACKAGE.name}-{uuid.uuid4().hex}.zip"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    stream.write(packed.getvalue())
+    stream.close()
     context.addPyFile(path)
     _shipped.add(context.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a temporary folder."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="edgeloom-"))
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without their history; survives the loss of executors."""
     shared_dir(df.sparkSession)
