@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.lineage import ship
+from ..plans.lineage import shared_dir, ship
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,16 +14,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="edgeloom-"))
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
-
-
 class Workspace:
     """Parquet tables in the shared folder. They survive the loss of executors, are read with column
     pruning, and their size is known to the planner. ``drop`` removes those no longer needed."""
