@@ -99,7 +99,8 @@ def identity_join(spark, d):
 @query("cluster_spmm_merge", AAT)
 def cluster_spmm_merge(spark, d):
     sp = supplier_part(spark, d)
-    assigned = _nodes(sp, "i").filter("node % 3 <> 0").withColumn("cluster", structure.chunk(F.col("node"), 10))
+    # A third of the suppliers has no cluster and goes to the residual one.
+    assigned = _nodes(sp, "i").withColumn("cluster", F.when(F.col("node") % 3 != 0, structure.chunk(F.col("node"), 10)))
     return multiply.clustered(sp, transposed_features(sp), assigned)
 
 
@@ -128,10 +129,17 @@ def densify(spark, d):
     return structure.densify(cells, read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i")), 25)
 
 
-@query("densify_slice", f"WITH {SP} SELECT s_suppkey AS i, CAST(r.j AS INTEGER) AS j, COALESCE(sp.v, 0) AS val FROM supplier CROSS JOIN (SELECT unnest(range(20)) AS j) r LEFT JOIN sp ON sp.i = s_suppkey AND sp.k = r.j")
-def densify_slice(spark, d):
-    cells = supplier_part(spark, d).filter("k < 20").select("i", F.col("k").alias("j"), F.col("v").alias("val"))
-    return structure.densify(cells, read(spark, d, "supplier").select(F.col("s_suppkey").alias("i")), 20)
+@query(
+    "densify_suppliers",
+    """WITH c AS (SELECT l_suppkey AS i, c_nationkey AS j, COUNT(*) AS val FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+    SELECT s_suppkey AS i, n_nationkey AS j, COALESCE(c.val, 0) AS val FROM supplier CROSS JOIN nation LEFT JOIN c ON c.i = s_suppkey AND c.j = n_nationkey""",
+)
+def densify_suppliers(spark, d):
+    orders, customers = read(spark, d, "orders").select("o_orderkey", "o_custkey"), read(spark, d, "customer").select("c_custkey", "c_nationkey")
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    cells = joined.groupBy(F.col("l_suppkey").alias("i"), F.col("c_nationkey").alias("j")).agg(F.count(F.lit(1)).alias("val"))
+    return structure.densify(cells, read(spark, d, "supplier").select(F.col("s_suppkey").alias("i")), 25)
 
 
 @query("relabel", "SELECT o_custkey AS node, ROW_NUMBER() OVER (ORDER BY o_custkey) - 1 AS idx FROM (SELECT DISTINCT o_custkey FROM orders)")
@@ -307,23 +315,25 @@ def bfs_clusters(spark, d):
 
 @query("fiedler_vector")
 def fiedler_vector(spark, d):
-    """Of the parts of a few orders; an eigenvector, so without SQL."""
-    pp = part_part(spark, d)
-    found = partition.fiedler(structure.symmetrise(pp.filter("i < 300 and k < 300")))
-    return found.select("node", F.round("f", 5).alias("f"))
+    """Of the graph of nations; an eigenvector, so without SQL."""
+    return partition.fiedler(structure.symmetrise(nation_nation(spark, d))).select("node", F.round("f", 5).alias("f"))
 
 
-@query("semi_extract", f"WITH {SP}, {X}, c AS (SELECT DISTINCT k FROM sp WHERE i < 5) SELECT x.k, CAST(x.j AS INTEGER) AS j, CAST(ROUND(CAST(x.w AS DOUBLE) * 10000) AS BIGINT) AS w FROM x WHERE x.k IN (SELECT k FROM c) OR x.k < 5")
+@query(
+    "semi_extract",
+    f"""WITH {SP}, {X}, need AS (SELECT DISTINCT CAST(i // 50 AS INTEGER) AS cluster, k FROM sp UNION SELECT DISTINCT CAST(i // 50 AS INTEGER), i FROM sp)
+    SELECT cluster, x.k, CAST(x.j AS INTEGER) AS j, CAST(ROUND(CAST(x.w AS DOUBLE) * 10000) AS BIGINT) AS w FROM need JOIN x ON x.k = need.k""",
+)
 def semi_extract(spark, d):
     sp = supplier_part(spark, d)
-    members = _nodes(sp.filter("i < 5"), "i").withColumn("cluster", F.lit(0))
-    return partition.subfeatures(sp, embedding_features(spark, d), members).select("k", "j", F.round(F.col("w").cast("double") * 10000).cast("bigint").alias("w"))
+    members = _nodes(sp, "i").withColumn("cluster", structure.chunk(F.col("node"), 50))
+    return partition.subfeatures(sp, embedding_features(spark, d), members).select("cluster", "k", "j", F.round(F.col("w").cast("double") * 10000).cast("bigint").alias("w"))
 
 
-@query("submatrices", f"WITH {SP} SELECT CAST(i % 4 AS INTEGER) AS cluster, COUNT(*) AS cells, COUNT(DISTINCT k) AS columns, CAST(SUM(v) AS BIGINT) AS total FROM sp WHERE i < 50 GROUP BY 1")
+@query("submatrices", f"WITH {SP} SELECT CAST(i % 4 AS INTEGER) AS cluster, COUNT(*) AS cells, COUNT(DISTINCT k) AS columns, CAST(SUM(v) AS BIGINT) AS total FROM sp GROUP BY 1")
 def submatrices(spark, d):
     sp = supplier_part(spark, d)
-    members = _nodes(sp, "i").filter("node < 50").withColumn("cluster", (F.col("node") % 4).cast("int"))
+    members = _nodes(sp, "i").withColumn("cluster", (F.col("node") % 4).cast("int"))
     return partition.submatrices(sp, members).groupBy("cluster").agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("k").alias("columns"), F.sum("v").alias("total"))
 
 
@@ -361,15 +371,15 @@ def verify_summary(spark, d):
 
 # Results, roll-ups, reports
 
-_OLD = "old AS (SELECT user_id, event_type, MAX_BY(event_id, event_id) AS event_id, MAX_BY(value, event_id) AS value, MAX_BY(props, event_id) AS metrics FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2)"
-_NEW = "new AS (SELECT user_id, event_type, MAX_BY(event_id, event_id) AS event_id, MAX_BY(value, event_id) AS value, NULL AS metrics FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)"
+_OLD = "old AS (SELECT user_id, event_type, MAX_BY(event_id, event_id) AS event_id, MAX_BY(value, event_id) AS value, MAX_BY(props, event_id) AS metrics FROM events WHERE value < 60 GROUP BY 1, 2)"
+_NEW = "new AS (SELECT user_id, event_type, MAX_BY(event_id, event_id) AS event_id, MAX_BY(value, event_id) AS value, NULL AS metrics FROM events WHERE value >= 30 GROUP BY 1, 2)"
 _KEYS = ["user_id", "event_type"]
 
 
 def _stores(spark, d) -> tuple[DataFrame, DataFrame]:
     events = read(spark, d, "events").select(*_KEYS, "event_id", "value", F.col("props").alias("metrics"))
-    old = results.latest(events.filter("event_id % 2 = 0"), _KEYS, "event_id")
-    new = results.latest(events.filter("event_id % 3 = 0"), _KEYS, "event_id").withColumn("metrics", F.lit(None).cast("string"))
+    old = results.latest(events.filter("value < 60"), _KEYS, "event_id")
+    new = results.latest(events.filter("value >= 30"), _KEYS, "event_id").withColumn("metrics", F.lit(None).cast("string"))
     return old, new
 
 
@@ -486,10 +496,10 @@ def metadata_left_join(spark, d):
     return docs.join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("source", F.lit("Unknown")).alias("source"))
 
 
-@query("catalogue_enrich", "SELECT c.c_name AS name, COALESCE(n.n_name, 'Unknown') AS \"group\", COALESCE(n.n_name, 'Unknown') AS kind, c.c_custkey + 1 AS rows, c.c_custkey + 2 AS cols, c.c_custkey AS nnz, ROUND(COALESCE(CASE WHEN n.n_nationkey IS NOT NULL THEN 0.5::DOUBLE END, 1 - c.c_custkey / ((c.c_custkey + 1.0::DOUBLE) * (c.c_custkey + 2.0::DOUBLE))), 6) AS sparsity FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND c.c_custkey % 2 = 0")
+@query("catalogue_enrich", "SELECT c.c_name AS name, COALESCE(n.n_name, 'Unknown') AS \"group\", COALESCE(n.n_name, 'Unknown') AS kind, c.c_custkey + 1 AS rows, c.c_custkey + 2 AS cols, c.c_custkey AS nnz, ROUND(COALESCE(CASE WHEN n.n_nationkey IS NOT NULL THEN 0.5::DOUBLE END, 1 - c.c_custkey / ((c.c_custkey + 1.0::DOUBLE) * (c.c_custkey + 2.0::DOUBLE))), 6) AS sparsity FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND c.c_acctbal > 0")
 def catalogue_enrich(spark, d):
     customers, nations = read(spark, d, "customer"), read(spark, d, "nation")
-    meta = customers.filter("c_custkey % 2 = 0").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("name"), F.col("n_name").alias("group"), F.col("n_name").alias("kind"), F.lit(0.5).alias("sparsity"))
+    meta = customers.filter("c_acctbal > 0").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("name"), F.col("n_name").alias("group"), F.col("n_name").alias("kind"), F.lit(0.5).alias("sparsity"))
     matrices = customers.select(F.col("c_name").alias("name"), (F.col("c_custkey") + 1).alias("rows"), (F.col("c_custkey") + 2).alias("cols"), F.col("c_custkey").alias("nnz"))
     return catalogue.enrich(matrices, meta)
 
