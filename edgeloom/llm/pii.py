@@ -100,11 +100,17 @@ def _name(form: Column, digest: Column, attempt: Column) -> Column:
     return out
 
 
-def mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """__k1, __k2, at, raw, head (what of raw stays), type, form."""
+def staged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``df``, __k1 and __k2 (for id and text, never null), __raw (the entities) and __some (1 if
+    there are any)."""
     text = df[text_col].cast("string")
-    found = df.select(F.xxhash64(df[id_col], text).alias("__k1"), F.xxhash64(text, F.lit(1)).alias("__k2"), F.regexp_extract_all(text, F.lit(pattern()), F.lit(0)).alias("all")).filter(F.size("all") > 0)
-    rows = found.dropDuplicates(["__k1", "__k2"]).select("__k1", "__k2", F.posexplode("all").alias("at", "raw"))
+    keyed = df.withColumns({"__k1": F.xxhash64(df[id_col], text), "__k2": F.xxhash64(text, F.lit(1)), "__raw": F.regexp_extract_all(text, F.lit(pattern()), F.lit(0))})
+    return keyed.withColumn("__some", F.when(F.size("__raw") > 0, 1).otherwise(0))
+
+
+def mentions(having: DataFrame) -> DataFrame:
+    """__k1, __k2, at, raw, head (what of raw stays), type, form."""
+    rows = having.select("__k1", "__k2", "__raw").dropDuplicates(["__k1", "__k2"]).select("__k1", "__k2", F.posexplode("__raw").alias("at", "raw"))
     raw = F.col("raw")
     kind = F.lit(None).cast("string")
     for name, form in reversed(TYPES.items()):
@@ -141,9 +147,11 @@ def _surrogates(entities: DataFrame, key: str) -> DataFrame:
 def entity_table(found: DataFrame, key: str, ws: Workspace) -> DataFrame:
     """type, form, surrogate: one row an entity; surrogates are distinct, and none is an entity."""
     forms = ws.keep(found.select("type", "form").distinct(), "forms")
+    # Few bytes but much to compute: dealt over as many tasks as a shuffle has, whatever the size.
+    tasks = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     # What a surrogate must not be: a name's form has gender and script before it.
     taken = forms.select("type", F.when(F.col("type") == "name", F.regexp_replace("form", r"^\S+ \S+ ", "")).otherwise(F.col("form")).alias("own")).distinct()
-    table = ws.keep(_surrogates(forms.withColumn("attempt", F.lit(0)), key), "entities-0")
+    table = ws.keep(_surrogates(forms.repartition(tasks, "form").withColumn("attempt", F.lit(0)), key), "entities-0")
     turn = 0
     while True:
         same = F.row_number().over(Window.partitionBy("type", F.lower("surrogate")).orderBy("attempt", "form"))
@@ -171,15 +179,17 @@ def _rendered() -> Column:
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of ``df`` with surrogates in the text, and __entities, their number."""
     ws = Workspace(df.sparkSession, "pii")
-    found = ws.keep(mentions(df, id_col, text_col), "mentions")
+    # Searched once. Texts without entities, most of them, aren't shuffled.
+    stage = ws.keep(staged(df, id_col, text_col), "staged", by="__some")
+    having = stage.filter("__some = 1")
+    found = ws.keep(mentions(having), "mentions")
     table = entity_table(found, key, ws).select(F.col("type").alias("__t"), F.col("form").alias("__f"), "surrogate")
     replaced = found.join(table, (F.col("type") == F.col("__t")) & (F.col("form") == F.col("__f"))).select("__k1", "__k2", "at", _rendered().alias("new"))
     per_text = replaced.groupBy("__k1", "__k2").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("__new"))
     per_text = ws.keep(per_text.select(F.col("__k1").alias("__c1"), F.col("__k2").alias("__c2"), F.col("__new.new").alias("__new")), "replaced")
-    text = df[text_col].cast("string")
-    keyed = df.withColumns({"__k1": F.xxhash64(df[id_col], text), "__k2": F.xxhash64(text, F.lit(1))})
-    joined = keyed.join(per_text, (keyed["__k1"] == per_text["__c1"]) & (keyed["__k2"] == per_text["__c2"]), "left")
+    joined = having.join(per_text, (having["__k1"] == per_text["__c1"]) & (having["__k2"] == per_text["__c2"]))
     between = F.split(F.col(text_col).cast("string"), pattern())
     whole = F.array_join(F.flatten(F.zip_with(between, F.col("__new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    columns = [F.when(F.col("__new").isNull(), F.col(c).cast("string")).otherwise(whole).alias(c) if c == text_col else F.col(c) for c in df.columns]
-    return joined.select(*columns, F.coalesce(F.size("__new"), F.lit(0)).cast("long").alias("__entities"))
+    changed = joined.select(*[whole.alias(c) if c == text_col else F.col(c) for c in df.columns], F.size("__new").cast("long").alias("__entities"))
+    same = stage.filter("__some = 0").select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in df.columns], F.lit(0).cast("long").alias("__entities"))
+    return same.unionByName(changed)
