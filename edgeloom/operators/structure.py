@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 
 def transpose(a: DataFrame) -> DataFrame:
     return a.select(F.col("k").alias("i"), F.col("i").alias("k"), "v")
@@ -57,16 +59,21 @@ def lengthen(x: DataFrame) -> DataFrame:
     return x.select("k", F.posexplode("x").alias("j", "w"))
 
 
+def numbered(df: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
+    """df with idx, places from 0 in the given order. Ranges are numbered each by itself and moved by the sizes of
+    those before, so that no task sees all rows. The ranges are written first: both uses must see the same."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return ranged.withColumn("__at", within).join(offsets, "__part").select(*df.columns, (F.col("__at") + F.col("__before")).cast("long").alias("idx"))
+
+
 def relabel(nodes: DataFrame, node: str = "node", parts: int | None = None) -> DataFrame:
-    """(node) -> (node, idx): places from 0 in the order of the node. Ranges of nodes are numbered each by itself
-    and moved by the sizes of those before, so that no task sees all nodes."""
-    n = parts or int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = nodes.select(node).distinct().repartitionByRange(n, node).withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy(node)) - 1
-    return ranged.withColumn("at", within).join(offsets, "part").select(node, (F.col("at") + F.col("before")).cast("long").alias("idx"))
+    """(node) -> (node, idx): places from 0 in the order of the node."""
+    return numbered(nodes.select(node).distinct(), node, parts=parts)
 
 
 def permute(a: DataFrame, order: DataFrame, columns: tuple[str, ...] = ("i", "k")) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+from .stats import percentiles
+
 RTOL, ATOL = 1e-3, 1e-4
 
 
@@ -22,13 +25,14 @@ def differences(expected: DataFrame, actual: DataFrame, rtol: float = RTOL, atol
 def summary(expected: DataFrame, actual: DataFrame, rtol: float = RTOL, atol: float = ATOL) -> DataFrame:
     """One row: cells, is_close, the largest differences, least, largest and mean of each side, quartiles and
     99th percentile of the differences. Of no cells at all, is_close is true."""
-    d = differences(expected, actual, rtol, atol)
+    d = cut(differences(expected, actual, rtol, atol))
     points = {"diff_p25": 0.25, "diff_p50": 0.5, "diff_p75": 0.75, "diff_p99": 0.99}
-    return d.agg(
+    whole = d.agg(
         F.count(F.lit(1)).alias("cells"),
         F.coalesce(F.bool_and("close"), F.lit(True)).alias("is_close"),
         F.max("diff").alias("max_abs_diff"),
         F.max("rel").alias("max_rel_diff"),
         *[f(c).alias(f"{side}_{name}") for side, c in (("expected", "e"), ("actual", "a")) for name, f in (("min", F.min), ("max", F.max), ("mean", F.avg))],
-        *[F.percentile("diff", F.lit(q)).alias(name) for name, q in points.items()],
     )
+    one = F.lit(1).alias("__one")
+    return whole.select("*", one).join(percentiles(d, "diff", points).select("*", one), "__one").drop("__one")
