@@ -112,7 +112,8 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     bad = spread.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).filter(limit).select(F.col("host").alias("bad_host"), F.col("line").alias("bad_line"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("bad_salt"))
     bad = ws.keep(bad, "bad")
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    hit = salted.join(bad, (F.col("line") == F.col("bad_line")) & (F.col("salt") == F.col("bad_salt")) & F.col("host").eqNullSafe(F.col("bad_host")))
+    # Copies for all salts compress to nothing on disk, so the planner would take the table for a tiny one.
+    hit = salted.join(bad.hint("merge"), (F.col("line") == F.col("bad_line")) & (F.col("salt") == F.col("bad_salt")) & F.col("host").eqNullSafe(F.col("bad_host")))
     removed = hit.groupBy("row").agg(F.sum("words").alias("removed"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = measured.drop("lines", "line_words", "host").join(removed, "row", "left").withColumns({"removed_words": F.coalesce("removed", F.lit(0).cast("long")), "base_failed": failed})
