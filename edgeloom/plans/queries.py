@@ -471,6 +471,37 @@ def family_subset(spark, d):
     return results.family(read(spark, d, "part").select(F.col("p_partkey").alias("graph_index"), F.col("p_name").alias("graph_name")), "ring")
 
 
+def _metric_table(spark, d) -> DataFrame:
+    """Event types as methods over users as graphs, with one metric in one range."""
+    events = read(spark, d, "events")
+    return events.groupBy("event_type", "user_id").agg(F.sum("value").alias("value")).select(F.col("event_type").alias("method"), F.col("user_id").cast("string").alias("graph_idx"), F.lit("main").alias("range"), F.lit("total").alias("metric"), "value", F.lit("ms").alias("unit"))
+
+
+@query("metric_extract", "SELECT CAST(user_id AS VARCHAR) AS graph_idx, event_type AS method, ROUND(SUM(value) + 1e-9, 4) AS value, 'ms' AS unit FROM events GROUP BY 1, 2")
+def metric_extract(spark, d):
+    return results.metric_of(_metric_table(spark, d), "total", "main").withColumn("value", F.round(F.col("value") + 1e-9, 4))
+
+
+@query(
+    "comparison_table",
+    """WITH t AS (SELECT CAST(user_id AS VARCHAR) AS g, event_type AS m, ROUND(SUM(value) + 1e-9, 4) AS v FROM events GROUP BY 1, 2),
+    p AS (SELECT CAST(c_custkey AS VARCHAR) AS g, c_name, CAST(c_nationkey AS BIGINT) AS n, CASE WHEN c_acctbal > 0 THEN 0.5::DOUBLE END AS s FROM customer WHERE c_mktsegment = 'BUILDING'),
+    shown AS (SELECT p.* FROM p WHERE s IS NOT NULL AND n IS NOT NULL AND g IN (SELECT g FROM t))
+    SELECT shown.g AS graph_idx, shown.g || ' (n=' || n || ' p=0.5)' || chr(10) || c_name AS graph, k.m AS method, t.v AS value FROM shown CROSS JOIN (SELECT unnest(['click', 'view', 'none']) AS m) k LEFT JOIN t ON t.g = shown.g AND t.m = k.m""",
+)
+def comparison_table(spark, d):
+    customers = read(spark, d, "customer")
+    properties = customers.select(F.col("c_custkey").cast("string").alias("graph_idx"), F.col("c_name").alias("graph_name"), F.col("c_mktsegment").alias("graph_type"), F.col("c_nationkey").cast("long").alias("num_nodes"), F.when(F.col("c_acctbal") > 0, 0.5).alias("sparsity"))
+    shown = results.comparison(_metric_table(spark, d), properties, "total", "main", "BUILDING", ["click", "view", "none"])
+    return shown.withColumn("value", F.round(F.col("value") + 1e-9, 4))
+
+
+@query("known_methods", "SELECT event_id FROM events WHERE event_type IN ('click', 'view')")
+def known_methods(spark, d):
+    methods = spark.createDataFrame([("click",), ("view",), ("none",)], "event_type string")
+    return read(spark, d, "events").join(methods, "event_type", "left_semi").select("event_id")
+
+
 @query("distinct_methods", "SELECT DISTINCT event_type AS method FROM events")
 def distinct_methods(spark, d):
     return read(spark, d, "events").select(F.col("event_type").alias("method")).distinct()
