@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import grouped
 from .components import components
 from .tables import Workspace
 
@@ -110,8 +111,7 @@ def _linked(rows: DataFrame, threshold: float) -> DataFrame:
     """rows: cell, i, j, part, rep, copies, cells, vec, with those of one block pair together -> rep, links,
     root: what the block pair adds to the links of a vector, and the smallest vector that it reaches there."""
 
-    def group(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches).combine_chunks()
+    def group(table: pa.Table) -> Iterator[pa.RecordBatch]:
         i, j, cell = (table.column(k)[0].as_py() for k in ("i", "j", "cell"))
         part, rep, copies = (table.column(k).to_numpy() for k in ("part", "rep", "copies"))
         cells, x = (_matrix(table.column(k).chunk(0)) for k in ("cells", "vec"))
@@ -142,21 +142,8 @@ def _linked(rows: DataFrame, threshold: float) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"rep": rep[some], "links": links[some], "root": root[some]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
-            cuts = [0, *(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                key = tuple(keys[:, lo])
-                if held and key != now:
-                    yield from group(held)
-                    held = []
-                now = key
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from group(held)
+        for table in grouped(batches, 3):
+            yield from group(table.combine_chunks())
 
     return rows.select("cell", "i", "j", "part", "rep", "copies", "cells", "vec").mapInArrow(run, "rep long, links long, root long")
 

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import grouped
 from .components import Forest, components
 from .tables import Workspace
 from .words import WordHashes
@@ -173,25 +174,6 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, share double")
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The rows of each group of equal first columns, which must follow each other."""
-    held, now = [], None
-    for batch in batches:
-        columns = np.stack([batch.column(k).to_numpy() for k in range(keys)])
-        cuts = [0, *(np.nonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0))[0] + 1).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if lo == hi:
-                continue
-            key = tuple(columns[:, lo])
-            if held and key != now:
-                yield pa.Table.from_batches(held)
-                held = []
-            now = key
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _open_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of two documents of a block pair that differ in root and may reach 0.75, and share no earlier
     band: of any two that may, one group of all has them."""
