@@ -180,7 +180,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     passes = used.select("k1", "k2", "copy", "size", "skip", "words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))).alias("turn"))
     spans = passes.groupBy("k1", "k2", "copy", "turn").agg(F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("__spans"), (F.sum("words") == F.max("size")).alias("__whole"))
     once = _keyed(docs, id_col, text_col).withColumn("__n", F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.lit(0)))).filter("__n = 1")
-    taken = once.join(spans, (once["__k1"] == spans["k1"]) & (once["__k2"] == spans["k2"])).select(*docs.columns, F.when(~F.col("__whole"), F.col("__spans")).alias("__spans"))
+    spans = spans.select(F.col("k1").alias("__s1"), F.col("k2").alias("__s2"), "__spans", "__whole")
+    taken = once.join(spans, (once["__k1"] == spans["__s1"]) & (once["__k2"] == spans["__s2"])).select(*docs.columns, F.when(~F.col("__whole"), F.col("__spans")).alias("__spans"))
     names, at = list(docs.columns), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

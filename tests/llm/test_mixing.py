@@ -69,7 +69,7 @@ def test_testdata(spark):
 def test_documents_of_the_mix(spark):
     words = " ".join(f"w{i}" for i in range(300))
     docs = [(i, f"{i}: {words}\n end", "s%d" % (i % 4), "x") for i in range(12)] + [(99, None, None, "x"), (3, f"3: {words}\n end", "s3", "x")]
-    df = spark.createDataFrame(docs, "doc_id long, text string, source string, size string")
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, size string").selectExpr("*", "1 AS k1", "2 AS turn", "3 AS copy", "4 AS words")
     taken = Counter()
     for r in mixing.mix(df).collect():
         taken[r.doc_id] += r.taken
