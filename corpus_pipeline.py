@@ -46,11 +46,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group stays, and all that have no id."""
     kept = minhash.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
     once = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return once.withColumn("__first", first).filter("__first = 1").select(*docs.columns)
+    named = once.withColumn("__first", first).filter("__first = 1").select(*docs.columns)
+    return named.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
