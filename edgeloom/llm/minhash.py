@@ -46,7 +46,7 @@ BANDS = REGISTERS // ROWS
 LEAST_AGREEMENT = 0.58
 BLOCK = 256
 BLOCK_ITEMS = 1 << 19
-BATCH = 1 << 18
+BATCH = 1 << 17
 
 _K = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # fixed values: the constants of splitmix64
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MOST = 1 << 18
+MOST = 1 << 17
 
 
 def line_hash(line: bytes) -> int:
