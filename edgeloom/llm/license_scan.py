@@ -1,8 +1,11 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences at line ends and at full stops, colons and semicolons before white space; each is
-lower-cased, and what isn't a letter or digit becomes one space. Sentences of a table of known ones get its
-identifiers; the sequence of identifiers of a text is matched against rules in their order, longer ones first.
+A known sentence is found where it lies between two bounds: line ends, and full stops, colons and semicolons before
+white space. Within it, white space may be a line end, so that texts wrapped at any column count, but no bound of the
+other kinds and no blank line; several in one place are tried from the longest. Texts are lower-cased, what isn't a
+letter or digit becomes one space, and what comment signs (and the words rem and dnl) begin a line are left out.
+Sentences of a table of known ones get its identifiers; the sequence of identifiers of a text is matched against
+rules in their order, longer ones first.
 A rule is a sequence of identifiers that must follow each other with no other known sentence between; what it
 matches is used up, so that a licence whose sentences begin like another's isn't reported twice.
 
@@ -82,6 +85,8 @@ RULES = [
 
 ANCHORS = "licen|permission|copyright|redistribution|software|warrant|except in compliance|cc0"
 BREAK = r"\n|(?<=[.:;])\s+"
+#: What begins a line and doesn't count: signs, and the words that begin comments in batch files and m4.
+PREFIX = r"(^|\n)[^\p{L}\p{N}\n]*+(?:(?:rem|dnl)(?=\s)[^\p{L}\p{N}\n]*+)?"
 
 
 def normal(sentence: str) -> str:
@@ -90,7 +95,16 @@ def normal(sentence: str) -> str:
 
 
 def _normal(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    """Lower case; left are letters, digits, single spaces, single line ends, and [.:;] for the other bounds."""
+    c = F.regexp_replace(F.lower(c), PREFIX, "$1")
+    c = F.regexp_replace(F.regexp_replace(c, r"[.:;](?!\s)", " "), r"[^\p{L}\p{N}\n.:;]+", " ")
+    return F.regexp_replace(c, r"\n[ \n]*\n", ".")
+
+
+def sentence_pattern() -> str:
+    """A bound and a known sentence, the group, before another bound."""
+    sentences = sorted(known()[0], key=len, reverse=True)
+    return r"(?:^|[.:;\n]) ?(%s)(?= ?(?:[.:;\n]|$))" % "|".join(s.replace(" ", r"(?: ?\n| )") for s in sentences)
 
 
 #: The table as looked up: known sentences cut like texts are, each to identifier and part.
@@ -116,12 +130,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """doc_id, n_known (known sentences), licences (those found, in the order of the rules, joined by commas;
     empty if none)."""
     number, _ = known()
-    longest = max(map(len, number))
     table = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
     text = df[text_col].cast("string")
-    # A sentence much longer than any known one can't be one; normalising it would be wasted.
-    parts = F.filter(F.split(text, BREAK), lambda s: (F.length(s) <= 4 * longest) & F.rlike(s, F.lit("(?i)" + ANCHORS)))
-    numbers = F.filter(F.transform(parts, lambda s: F.element_at(table, _normal(s))), lambda n: n.isNotNull())
+    sentences = F.regexp_extract_all(_normal(text), F.lit(sentence_pattern()), F.lit(1))
+    numbers = F.transform(sentences, lambda s: F.element_at(table, F.regexp_replace(s, r" ?\n", " ")))
     found = df.select(df[id_col].alias("doc_id"), F.when(text.rlike("(?i)" + ANCHORS), numbers).alias("numbers"))
     # As a sequence, the known sentences stand side by side whatever lies between them in the text.
     rules = F.array(*[F.struct(F.lit(licence).alias("licence"), F.lit(p).alias("pattern")) for licence, p in rule_patterns()])

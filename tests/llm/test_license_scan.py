@@ -1,4 +1,7 @@
 import re
+import textwrap
+
+import pytest
 
 from edgeloom.llm import license_scan as ls
 
@@ -61,3 +64,46 @@ def test_against_plain_search(spark):
 
 def test_every_known_sentence_has_an_anchor():
     assert all(re.search(ls.ANCHORS, s) for s in ls.known()[0]), [s for s in ls.known()[0] if not re.search(ls.ANCHORS, s)]
+
+
+def paragraphs(*names, title=(), mark=""):
+    return [*title, *[f"{mark}{s}." for n in names for s in ls.SENTENCES[n][:1]]]
+
+
+WRAPPED = {
+    "MIT": ["Copyright (c) 2020 Someone", ls.SENTENCES["mit-grant"][0] + ":", *paragraphs("mit-condition", "as-is")],
+    "BSD-2-Clause": [ls.SENTENCES["bsd-grant"][0] + ":", *paragraphs("bsd-source", "bsd-binary", mark="1. ")],
+    "BSD-3-Clause": [ls.SENTENCES["bsd-grant"][0] + ":", *paragraphs("bsd-source", "bsd-binary", "bsd-names", mark="* ")],
+    "ISC": paragraphs("isc-grant"),
+    "GPL-2.0-or-later": [*paragraphs("gpl2-or-later"), "; ".join(ls.SENTENCES["gpl-warranty"]) + ".  See the GNU General Public License for more details."],
+    "GPL-3.0-or-later": [*paragraphs("gpl3-or-later"), "; ".join(ls.SENTENCES["gpl-warranty"]) + ".  See the GNU General Public License for more details."],
+    "Apache-2.0": [ls.SENTENCES["apache-notice"][1] + "; " + ls.SENTENCES["apache-use"][0] + ". " + ls.SENTENCES["apache-copy"][0], "http://www.apache.org/licenses/LICENSE-2.0"],
+}
+
+
+@pytest.mark.parametrize("width", [70, 80])
+def test_wrapped_texts(spark, width):
+    texts = []
+    for licence, parts in WRAPPED.items():
+        for mark in ("", "    ", " * ", "# ", "// ", ";; ", "-- ", "REM ", "dnl ", "\r"):
+            end = "\r\n" if mark == "\r" else "\n"
+            lines = "\n\n".join(textwrap.fill(p, width) for p in parts).split("\n")
+            texts.append((licence, "/*" + end + end.join(mark.strip("\r") + x for x in lines) + end + "*/"))
+            texts.append((licence, "int x;" + end + end.join(mark.strip("\r") + x for x in lines if x) + end + "int y;"))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in ls.scan(df).collect()}
+    assert [(texts[i], got[i]) for i in range(len(texts)) if got[i] != texts[i][0]] == []
+
+
+def test_lines_blank_lines_and_long_runs(spark):
+    texts = [
+        ("Foo 1.0\nReleased under the MIT License\nby Someone", 1, "MIT"),
+        ("# MIT License\n# Copyright (c) 2020\n", 1, "MIT"),
+        ("                Apache License\n          Version 2.0, January 2004\n     http://www.apache.org/licenses/", 1, "Apache-2.0"),
+        ("Permission to use,\n\ncopy, " + ls.SENTENCES["isc-grant"][0].split("copy, ", 1)[1], 0, ""),
+        (ls.SENTENCES["isc-grant"][0].replace(" copy", ". copy", 1), 0, ""),
+        ("license" + "-" * 100_000 + "\n" * 100_000 + " \n" * 100_000 + ". " * 100_000 + "\n; " * 100_000 + "MIT License", 1, "MIT"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_known, r.licences) for r in ls.scan(df).collect()}
+    assert got == {i: (n, x) for i, (_, n, x) in enumerate(texts)}
