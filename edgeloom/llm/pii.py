@@ -1,7 +1,7 @@
 """PII: detected entities get keyed surrogates of the same type and format, in DataFrame functions only.
 
 Detected are e-mail addresses, IPv4 addresses, phone, card, social security and bank account numbers, secrets
-(after token, password and the like, key ids, long hexadecimal strings) and names after a title. An entity's
+(after token, password and the like, of any length; key ids, long hexadecimal strings) and names after a title. An entity's
 form for comparison is lower case, for numbers the digits alone, so that all its mentions get one surrogate
 (coreference). Surrogates come from SHA-256 over key, type, form and attempt: digits become digits, letters
 letters, hexadecimal letters hexadecimal letters, in the case and with the separators of the mention; the top-level
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .tables import Workspace
 
-# The forms of entities. Bounded repeats, and a start that can't lie within a longer run, keep the
+# The forms of entities. Bounded or possessive repeats, and a start that can't lie within a longer run, keep the
 # search linear on any text.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 IPV4 = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"
@@ -32,7 +32,7 @@ PHONE = r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]
 CARD = r"(?<![\p{L}\p{N}])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-NAMED = r"(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_./+-]{8,128}"
+NAMED = r"(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_./+-]{8,}+"
 KEY_ID = r"(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])"
 HEX = r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])"
 TITLES = {"m": ["Mr", "Herr", "Señor", "Monsieur", "г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "г-жа"]}
@@ -68,18 +68,20 @@ def pattern() -> str:
     return "|".join(f"(?:{p})" for p in TYPES.values())
 
 
-def _digest(*parts: Column) -> Column:
-    """256 hexadecimal digits."""
+def _digest(*parts: Column, length: Column) -> Column:
+    """Hexadecimal digits: ``length`` of them at least, and not fewer than 256."""
     text = F.concat_ws("\x1f", *parts)
-    return F.concat(*[F.sha2(F.concat(text, F.lit(f"\x1f{k}")), 256) for k in range(4)])
+    block = lambda k: F.sha2(F.concat(text, F.lit("\x1f"), k.cast("string")), 256)
+    more = F.when(length > 256, F.array_join(F.transform(F.sequence(F.lit(4), F.ceil(length / 64).cast("int")), block), "")).otherwise("")
+    return F.concat(*[block(F.lit(k)) for k in range(4)], more)
 
 
 def _mapped(form: Column, digest: Column, hexadecimal: Column) -> Column:
     """Each digit and letter of a form becomes another of its kind; other characters stay."""
-    digits = F.translate(digest, "abcdef", "135790")
-    letters = F.translate(digest, "0123456789abcdef", _LETTERS[:16])
-    hexes = F.translate(digest, "0123456789", "abcdefabcd")
-    return F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(digits, i + 1, F.lit(1))).when(c.rlike(r"\p{L}"), F.when(hexadecimal, F.substr(hexes, i + 1, F.lit(1))).otherwise(F.substr(letters, i + 1, F.lit(1)))).otherwise(c)), "")
+    digit = lambda d: F.translate(d, "abcdef", "135790")
+    letter = lambda d: F.when(hexadecimal, F.translate(d, "0123456789", "abcdefabcd")).otherwise(F.translate(d, "0123456789abcdef", _LETTERS[:16]))
+    drawn = F.slice(F.split(digest, ""), F.lit(1), F.length(form))
+    return F.array_join(F.zip_with(F.split(form, ""), drawn, lambda c, d: F.when(c.rlike("[0-9]"), digit(d)).when(c.rlike(r"\p{L}"), letter(d)).otherwise(c)), "")
 
 
 def _check_digit(digits: Column) -> Column:
@@ -140,10 +142,10 @@ def mentions(having: DataFrame) -> DataFrame:
 def _surrogates(entities: DataFrame, key: str) -> DataFrame:
     """type, form, attempt -> with the surrogate of the form."""
     form, kind, attempt = F.col("form"), F.col("type"), F.col("attempt")
-    digest = _digest(F.lit(key), kind, form, attempt.cast("string"))
+    digest = _digest(F.lit(key), kind, form, attempt.cast("string"), length=F.length(form))
     plain = F.lit(False)
     local, domain, tld = F.substring_index(form, "@", 1), F.regexp_extract(form, r"@(.*)\.[^.]*$", 1), F.substring_index(form, ".", -1)
-    email = F.concat(_mapped(local, digest, plain), F.lit("@"), _mapped(domain, _digest(F.lit(key), F.lit("domain"), domain), plain), F.lit("."), tld)
+    email = F.concat(_mapped(local, digest, plain), F.lit("@"), _mapped(domain, _digest(F.lit(key), F.lit("domain"), domain, length=F.length(domain)), plain), F.lit("."), tld)
     octet = lambda k: F.conv(F.substring(digest, 8 * k + 1, 6), 16, 10).cast("long")
     ipv4 = F.concat_ws(".", *[(octet(k) % 254 + 1).cast("string") for k in range(4)])
     mapped = _mapped(form, digest, (kind == "secret") & form.rlike("^[0-9a-f]+$"))

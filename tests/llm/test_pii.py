@@ -81,3 +81,16 @@ def test_texts_without_entities_stay(spark):
     assert got.filter("__entities = 0 and text <> was").count() == 0
     assert got.filter("__entities > 0 and text = was").count() == 0
     assert out.filter(F.regexp_count("text", F.lit(r"token = \"|[a-z]+\.\d\d@|\+1 \(\d{3}\) 555-")) > 0).join(docs.select("doc_id", "lang"), "doc_id").count() > 0
+
+
+def test_long_secrets(spark):
+    long = "".join(f"{k:x}Zy" for k in range(100))[:300]
+    texts = [f'token="{long}"', f'token = "{long[:-1]}!"', f"secret: {long[:-1]}_.", "api_key=" + long * 1000 + " end", "password=" + "ab12" * 40 + "c", "password=" + "ab12" * 40 + "d"]
+    got = rows(spark, texts)
+    assert [n for _, n in got.values()] == [1] * len(texts)
+    for k, text in enumerate(texts):
+        new = got[k][0]
+        assert len(new) == len(text) and re.sub(r"\d", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", new)))[-20:] == re.sub(r"\d", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", text)))[-20:]
+        own, old = (x.split("=" if "=" in x else ":", 1)[1] for x in (new, text))
+        assert all(own[at : at + 20] not in old for at in range(3, len(old) - 26, 20))
+    assert got[4][0][9:] != got[5][0][9:] and got[4][0][9:29] != got[5][0][9:29]
