@@ -1,6 +1,7 @@
 """PII: detected entities get keyed surrogates of the same type and format, in DataFrame functions only.
 
-Detected are e-mail addresses, IPv4 addresses, phone, card, social security and bank account numbers, secrets
+Detected are e-mail addresses, IPv4 addresses, phone (after a plus sign in any groups, else (ddd) ddd-dddd and
+ddd-ddd-dddd), card, social security and bank account numbers, secrets
 (after token, password and the like, of any length; key ids, long hexadecimal strings) and names after a title. An entity's
 form for comparison is lower case, for numbers the digits alone, so that all its mentions get one surrogate
 (coreference). Surrogates come from SHA-256 over key, type, form and attempt: digits become digits, letters
@@ -28,7 +29,14 @@ from .tables import Workspace
 # search linear on any text.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 IPV4 = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"
-PHONE = r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d)|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+#: A plus sign and 8 to 15 digits in any groups, with up to three signs between digits; where the run is longer, groups of
+#: 2-4 digits, or else what of it has 15 digits at most and ends with a group. Without a plus sign two forms.
+_APART = r"[ .()/\u00A0\u2011\u202F-]{0,3}"
+PHONE_PLUS = rf"(?<![\p{{L}}\p{{N}}+])\+(?:\d(?:{_APART}+\d){{7,14}}+(?!{_APART}\d)|\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]\d{{2,4}}){{1,4}}(?!\d)|\d{{8,15}}(?!\d)|\d(?:{_APART}\d){{7,14}}(?!\d))"
+PHONE_BRACKET = r"(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+PHONE_PLAIN = r"(?<![\p{L}\p{N}]|\d-)(?:1-)?\d{3}-\d{3}-\d{4}(?![\p{L}\p{N}]|-\d)"
+#: Country codes; those of three digits are all others.
+COUNTRY = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 CARD = r"(?<![\p{L}\p{N}])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
@@ -44,7 +52,7 @@ TYPES = {
     "email": EMAIL,
     "secret": f"{NAMED}|(?=A)(?:{KEY_ID})|(?=[0-9a-fA-F])(?:{HEX})",
     "ipv4": rf"(?=\d)(?:{IPV4})",
-    "phone": f"(?=[+(])(?:{PHONE})",
+    "phone": rf"(?=\+)(?:{PHONE_PLUS})|(?=\()(?:{PHONE_BRACKET})|(?=\d)(?:{PHONE_PLAIN})",
     "iban": f"(?=[A-Z])(?:{IBAN})",
     "card": rf"(?=\d)(?:{CARD})",
     "ssn": rf"(?=\d)(?:{SSN})",
@@ -130,7 +138,7 @@ def mentions(having: DataFrame) -> DataFrame:
     rows = rows.withColumn("type", kind)
     titles = "|".join(TITLES["m"] + TITLES["f"])
     named = r"^(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
-    head = F.when(F.col("type") == "secret", F.regexp_extract(raw, f"({named}|^AKIA|^)", 1)).when(F.col("type") == "name", F.regexp_extract(raw, rf"^((?:{titles})\.? )", 1)).when(F.col("type") == "phone", F.regexp_extract(raw, r"^(\+\d{1,3}(?=[ .(-])|)", 1)).otherwise(F.lit(""))
+    head = F.when(F.col("type") == "secret", F.regexp_extract(raw, f"({named}|^AKIA|^)", 1)).when(F.col("type") == "name", F.regexp_extract(raw, rf"^((?:{titles})\.? )", 1)).when(F.col("type") == "phone", F.regexp_extract(raw, rf"^({COUNTRY}|1-|)", 1)).otherwise(F.lit(""))
     rows = rows.withColumn("head", head)
     body = F.expr("substring(raw, length(head) + 1)")
     gender = F.when(F.col("head").rlike("^(?:%s)" % "|".join(rf"{t}\.? " for t in TITLES["m"])), F.lit("m")).otherwise(F.lit("f"))

@@ -94,3 +94,26 @@ def test_long_secrets(spark):
         own, old = (x.split("=" if "=" in x else ":", 1)[1] for x in (new, text))
         assert all(own[at : at + 20] not in old for at in range(3, len(old) - 26, 20))
     assert got[4][0][9:] != got[5][0][9:] and got[4][0][9:29] != got[5][0][9:29]
+
+
+NUMBERS = ["+14155552671", "+1-415-555-2671", "+1 (415) 555-2671", "+1.415.555.2671", "415-555-2671", "1-415-555-2671", "(415) 555-2671", "+49 30 1234567", "+49 (0)30 / 123 45 67", "+33 1 23 45 67 89", "+33\u00a01\u00a023\u00a045\u00a067\u00a089", "+44 20 7946 0958", "+372 12345", "+861234567890123"]
+
+
+def test_phone_forms(spark):
+    texts = [form % number for number in NUMBERS for form in ("call %s, please", "tel:%s.", "%s", "(%s)")]
+    got = rows(spark, texts)
+    for k, text in enumerate(texts):
+        new, n = got[k]
+        assert (text, n) == (text, 1) and new != text and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+        assert "+" not in text or new[: text.index("+") + 2] == text[: text.index("+") + 2]
+    for k in range(0, len(texts), 4):
+        assert len({re.sub(r"\D", "", got[k + i][0]) for i in range(4)}) == 1
+
+
+def test_phone_coreference_and_bounds(spark):
+    texts = ["+14155552671 = +1 415 555 2671 = +1 (415) 555-2671 = 415-555-2671 = 1-415-555-2671 = (415) 555-2671", "+14155552671 2024-01-01", "+12 3456 7890 1234 5678 x"]
+    got = rows(spark, texts)
+    assert got[0][1] == 6 and len({re.sub(r"\D", "", x)[-10:] for x in got[0][0].split("=")}) == 1 and "2671" not in got[0][0]
+    assert got[1][1] == 1 and "4155552671" not in got[1][0] and got[2][1] == 1 and "5678" not in got[2][0]
+    rest = ["+1234567", "123-456-7890-123", "9-123-456-7890", "a123-456-7890", "123-456-78901", "12-456-7890", "1+14155552671"]
+    assert rows(spark, rest) == {k: (t, 0) for k, t in enumerate(rest)}
