@@ -28,7 +28,7 @@ def bfs_hop(edges: DataFrame, frontier: DataFrame, degree: DataFrame, budget: in
     return expanded.withColumn("expanded", F.lit(True)).unionByName(claimed.withColumn("expanded", F.lit(False)))
 
 
-def grow_clusters(a: DataFrame, nodes: int, budget: int, clusters: int, threshold: float = THRESHOLD, hops: int = 64) -> DataFrame:
+def grow_clusters(a: DataFrame, nodes: int, budget: int, clusters: int, threshold: float = THRESHOLD) -> DataFrame:
     """(node, cluster): up to ``clusters`` clusters of a symmetric graph, each from the unassigned node of the highest
     degree (the lowest number of several), grown breadth first over unassigned neighbours until ``budget`` edges
     are used up or nothing is left. Nodes that none reaches have the cluster null."""
@@ -40,8 +40,10 @@ def grow_clusters(a: DataFrame, nodes: int, budget: int, clusters: int, threshol
         frontier, spent = cut(seed), 0
         if frontier.isEmpty():
             break
-        for _ in range(hops):
-            taken = cut(taken.unionByName(frontier.select("node", F.lit(cluster).alias("cluster"))))
+        while True:
+            # A union has the parts of both; without a bound they would grow with the levels.
+            both = taken.unionByName(frontier.select("node", F.lit(cluster).alias("cluster")))
+            taken = cut(both.coalesce(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
             hop = cut(bfs_hop(edges, frontier, degree, budget, threshold, spent))
             spent += hop.filter("expanded").join(degree, "node").agg(F.sum("degree")).first()[0] or 0
             frontier = cut(hop.filter("not expanded").select("node").join(taken, "node", "left_anti"))

@@ -334,3 +334,10 @@ def test_validators(spark):
     assert stats.capacity(spark)["parallelism"] >= 1
     s = stats.matrix_stats(a.withColumn("v", F.when(F.col("i") == 0, 0.0).otherwise(1.0)), 3, 4).first()
     assert (s.nnz, s.nonzero, s.sparsity) == (4, 3, pytest.approx(1 - 4 / 12))
+
+
+def test_bfs_clusters_of_a_long_path(spark):
+    edges = [(k, k + 1, 1.0) for k in range(67)]
+    df = cells(spark, edges + [(k, i, v) for i, k, v in edges])
+    got = {r.node: r.cluster for r in partition.grow_clusters(df, 68, 10_000, 1, 0.0).collect()}
+    assert got == dict.fromkeys(range(68), 0)
