@@ -62,13 +62,22 @@ def lengthen(x: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
     """df with idx, places from 0 in the given order. Ranges are numbered each by itself and moved by the sizes of
     those before, so that no task sees all rows. The ranges are written first: both uses must see the same."""
+    return sums_before(df, order, {"idx": F.lit(1).cast("long")}, parts)
+
+
+def sums_before(df: DataFrame, order: tuple[str, ...], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """df with, for each name, the sum of its expression over the rows that come before in the given order, which
+    must not have ties if the sums are to be the same each time. Ranges are summed each by itself and moved by
+    those before, so that no task sees all rows. The ranges are written first: both uses must see the same."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    totals = ranged.groupBy("__part").agg(*[F.sum(e).alias(f"__t_{c}") for c, e in sums.items()])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return ranged.withColumn("__at", within).join(offsets, "__part").select(*df.columns, (F.col("__at") + F.col("__before")).cast("long").alias("idx"))
+    none = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    offsets = totals.select("__part", *[none(F.col(f"__t_{c}"), before).alias(f"__o_{c}") for c in sums])
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumns({f"__w_{c}": none(e, within) for c, e in sums.items()}).join(offsets, "__part")
+    return placed.select(*df.columns, *[(F.col(f"__w_{c}") + F.col(f"__o_{c}")).alias(c) for c in sums])
 
 
 def relabel(nodes: DataFrame, node: str = "node", parts: int | None = None) -> DataFrame:
