@@ -36,8 +36,7 @@ def grow_clusters(a: DataFrame, nodes: int, budget: int, clusters: int, threshol
     edges = cut(edge_density(a, nodes).filter(F.col("weight") > threshold).select("i", "k", "weight"))
     taken = cut(degree.select("node", F.lit(None).cast("int").alias("cluster")).limit(0))
     for cluster in range(clusters):
-        seed = degree.join(taken, "node", "left_anti").orderBy(F.desc("degree"), "node").limit(1).select("node")
-        frontier, spent = cut(seed), 0
+        frontier, spent = cut(next_seed(degree, taken)), 0
         if frontier.isEmpty():
             break
         while True:
@@ -52,6 +51,11 @@ def grow_clusters(a: DataFrame, nodes: int, budget: int, clusters: int, threshol
     return degree.select("node").join(taken, "node", "left")
 
 
+def next_seed(degree: DataFrame, taken: DataFrame) -> DataFrame:
+    """(node): of those not taken, the node of the highest degree, the lowest number of several; or no row."""
+    return degree.join(taken, "node", "left_anti").orderBy(F.desc("degree"), "node").limit(1).select("node")
+
+
 def covering(assignments: DataFrame, least: int = 2) -> DataFrame:
     """Clusters of fewer than ``least`` nodes, and nodes without one, become one cluster of their own, -1."""
     sizes = assignments.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
@@ -85,37 +89,46 @@ def split_by(scores: DataFrame, threshold: float, score: str = "f") -> DataFrame
     return scores.withColumn("part", F.when(F.col(score) > threshold, 1).otherwise(0))
 
 
-def fiedler(a: DataFrame, rounds: int = 200, small: int = 2000, seed: int = 1) -> DataFrame | None:
-    """(node, f): the eigenvector to the second smallest eigenvalue of the normalised Laplacian of a symmetric graph,
-    of unit length, its first entry that isn't 0 positive; null for fewer than two nodes. Up to ``small`` nodes are solved
-    exactly in one place; more by power iteration on 2I - L, each step a join and a sum over the edges."""
+def fiedler(a: DataFrame, tolerance: float = 1e-8, steps: int = 24, restarts: int = 40, seed: int = 1) -> DataFrame | None:
+    """(node, f): the eigenvector to the second smallest eigenvalue of the normalised Laplacian L of a symmetric graph,
+    of unit length, its first entry that isn't 0 positive; null for fewer than two nodes. Lanczos steps on 2I - L
+    without its known first eigenvector, each a join and a sum over the edges, with the basis as an array beside
+    each node; after ``steps`` it starts again from the best vector. It ends when |(2I - L) f - value f| is at most
+    ``tolerance``, and raises if it isn't after all restarts. The driver holds a matrix of ``steps`` squared."""
     degree = cut(a.groupBy("i").agg(F.sum("v").cast("double").alias("d")).filter("d > 0"))
     n = degree.count()
     if n < 2:
         return None
-    spark = a.sparkSession
     scaled = a.join(degree, "i").join(degree.withColumnsRenamed({"i": "k", "d": "dk"}), "k")
-    scaled = scaled.groupBy("i", "k").agg((F.sum("v") / F.sqrt(F.first("d") * F.first("dk"))).alias("m"))
-    if n <= small:
-        ids = [r["i"] for r in degree.select("i").orderBy("i").collect()]
-        at = {x: k for k, x in enumerate(ids)}
-        lap = np.eye(n)
-        for r in scaled.collect():
-            lap[at[r["i"]], at[r["k"]]] -= r["m"]
-        f = np.linalg.eigh((lap + lap.T) / 2)[1][:, 1]
-        f = f * (np.sign(f[np.nonzero(np.abs(f) > 1e-12)[0][0]]) or 1)
-        return spark.createDataFrame(list(zip(ids, f.tolist(), strict=True)), "node bigint, f double")
-    scaled = cut(scaled)
+    scaled = cut(scaled.groupBy("i", "k").agg((F.sum("v") / F.sqrt(F.first("d") * F.first("dk"))).alias("m")))
     total = degree.agg(F.sum("d")).first()[0]
-    first = degree.select(F.col("i").alias("node"), F.sqrt(F.col("d") / total).alias("u"))
-    first = cut(first)
-    x = first.withColumn("f", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 20)) / F.lit(1 << 20) - 0.5)
-    for step in range(rounds):
-        y = scaled.join(x.select(F.col("node").alias("k"), "f"), "k").groupBy(F.col("i").alias("node")).agg(F.sum(F.col("m") * F.col("f")).alias("s"))
-        x = x.join(y, "node", "left").select("node", "u", (F.col("f") + F.coalesce("s", F.lit(0.0))).alias("f"))
-        dot = x.agg(F.sum(F.col("u") * F.col("f"))).first()[0]
-        x = x.withColumn("f", F.col("f") - F.lit(dot) * F.col("u"))
-        norm = x.agg(F.sqrt(F.sum(F.col("f") * F.col("f")))).first()[0] or 1.0
-        x = cut(x.withColumn("f", F.col("f") / norm))
-    lead = x.filter("abs(f) > 1e-12").orderBy("node").limit(1).first()
-    return x.select("node", (F.col("f") * F.lit(1.0 if lead is None or lead["f"] > 0 else -1.0)).alias("f"))
+    start = F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 20)) / F.lit(1 << 20) - 0.5
+    first = degree.select(F.col("i").alias("node"), F.sqrt(F.col("d") / total).alias("u"), start.alias("f"))
+    for _ in range(restarts):
+        basis, h = cut(first.select("node", F.array("u").alias("q"), F.col("f").alias("y"))), np.zeros((steps + 2, steps + 2))
+        for step in range(steps + 1):
+            y = F.col("y")
+            # Twice, as once leaves rounding errors of the size of what was taken away.
+            for _ in range(2):
+                dots = basis.agg(*[F.sum(y * F.get("q", F.lit(k))).alias(str(k)) for k in range(step + 1)], F.sum(y * y).alias("own")).first()
+                for k in range(step + 1):
+                    y = y - F.get("q", F.lit(k)) * F.lit(dots[k])
+                    h[k, step] += dots[k]
+            norm = max(0.0, dots["own"] - sum(d * d for d in dots[:-1])) ** 0.5
+            # Row and column 0 are those of the known eigenvector.
+            values, vectors = np.linalg.eigh((h[1 : step + 1, 1 : step + 1] + h[1 : step + 1, 1 : step + 1].T) / 2) if step else (None, np.ones((1, 1)))
+            done = norm < 1e-12 or step and norm * abs(vectors[-1, -1]) <= tolerance
+            if done or step == steps:
+                break
+            h[step + 1, step] = norm
+            grown = basis.select("node", F.array_append("q", y / F.lit(norm)).alias("q"))
+            last = grown.select(F.col("node").alias("k"), F.element_at("q", -1).alias("x"))
+            product = scaled.join(last, "k").groupBy(F.col("i").alias("node")).agg(F.sum(F.col("m") * F.col("x")).alias("s"))
+            basis = cut(grown.join(product, "node", "left").select("node", "q", (F.element_at("q", -1) + F.coalesce("s", F.lit(0.0))).alias("y")))
+        parts = [F.get("q", F.lit(k + 1)) * F.lit(float(x)) for k, x in enumerate(vectors[:, -1])] if step else [y]
+        first = cut(basis.select("node", F.get("q", F.lit(0)).alias("u"), sum(parts[1:], parts[0]).alias("f")))
+        if done:
+            lead = first.filter("abs(f) > 1e-9").orderBy("node").limit(1).first()
+            length = first.agg(F.sqrt(F.sum(F.col("f") * F.col("f")))).first()[0]
+            return first.select("node", (F.col("f") / F.lit(length if lead is None or lead["f"] > 0 else -length)).alias("f"))
+    raise ArithmeticError(f"no eigenvector within {tolerance} after {restarts} x {steps} steps")
