@@ -15,12 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.lineage import estimated_bytes
+from ..plans.lineage import cut, estimated_bytes
+from ..schema import ShapeError, require_multipliable
+from .partition import THRESHOLD, clusters_of
+from .structure import relabel
 
 BROADCAST_BYTES = 64 << 20
 TILE = 256
 HOT_PRODUCTS = 1 << 22
 SALTS = 32
+WIDEST = 1024
 
 
 def _whole(a: DataFrame, x: DataFrame) -> bool:
@@ -64,10 +68,12 @@ def salted(a: DataFrame, x: DataFrame, hot: int = HOT_PRODUCTS, salts: int = SAL
 
 def wide(a: DataFrame, x: DataFrame) -> DataFrame:
     """X as arrays with a place for each j: one row for each (i, k) pair through the join, and one sum for each
-    place. For narrow X."""
+    place. For X of at most ``WIDEST`` places, as each is a column of the aggregate; it raises beyond."""
     whole = _whole(a, x)
     kind = "bigint" if whole else "double"
     width = (x.agg(F.max("j")).first()[0] or 0) + 1
+    if width > WIDEST:
+        raise ShapeError(f"{width} columns are too many for a sum each; there may be {WIDEST}")
     cells = F.map_from_entries(F.collect_list(F.struct(F.col("j").cast("int"), F.col("w").cast(kind))))
     arrays = x.groupBy("k").agg(cells.alias("c")).select("k", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.try_element_at("c", j)).alias("x"))
     sums = [F.sum(F.col("v").cast(kind) * F.get("x", F.lit(j))).cast(kind).alias(f"s{j}") for j in range(width)]
@@ -163,7 +169,28 @@ for _name, _strategy in (("auto", auto), ("broadcast", broadcast), ("merge", mer
     register_strategy(_name, _strategy)
 
 
-def multiply(a: DataFrame, x: DataFrame, strategy: str = "auto") -> DataFrame:
+def bfs_clustered(a: DataFrame, x: DataFrame, nodes: int, budget: int, clusters: int, threshold: float = THRESHOLD) -> DataFrame:
+    """Clusters of a symmetric graph are grown breadth first, and the product is made cluster by cluster and merged;
+    equal to the direct product, as nodes that no cluster reaches have one of their own."""
+    return clustered(a, x, clusters_of(a, nodes, budget, clusters, threshold))
+
+
+def multiply_graphs(a: DataFrame, x: DataFrame, strategy: str = "auto") -> DataFrame:
+    """Many products at once: a (graph_id, i, k, v), x (graph_id, k, j, w) -> (graph_id, i, j, val). Each graph's
+    rows and keys get a range of numbers of their own, so that any strategy makes all products in one job."""
+    numbers = cut(relabel(a.select("graph_id"), "graph_id"))
+    a, x = a.join(numbers, "graph_id"), x.join(numbers, "graph_id")
+    span = F.lit(max(df.agg(F.max(F.greatest(*c)) if len(c) > 1 else F.max(c[0])).first()[0] or 0 for df, c in ((a, ("i", "k")), (x, ("k",)))) + 1)
+    moved = lambda c: (F.col("idx") * span + F.col(c)).alias(c)
+    made = multiply(a.select(moved("i"), moved("k"), "v"), x.select(moved("k"), "j", "w"), strategy)
+    back = made.select(F.floor(F.col("i") / span).alias("idx"), F.pmod("i", span).alias("i"), "j", "val")
+    return back.join(numbers, "idx").select("graph_id", "i", "j", "val")
+
+
+def multiply(a: DataFrame, x: DataFrame, strategy: str = "auto", a_cols: int | None = None, x_rows: int | None = None) -> DataFrame:
+    """By the strategy of that name. Raises if both sizes are given and differ."""
+    if a_cols is not None and x_rows is not None:
+        require_multipliable(a_cols, x_rows)
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy {strategy!r}; there are {sorted(STRATEGIES)}")
     return STRATEGIES[strategy](a, x)

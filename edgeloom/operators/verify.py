@@ -11,12 +11,12 @@ from .stats import percentiles
 RTOL, ATOL = 1e-3, 1e-4
 
 
-def differences(expected: DataFrame, actual: DataFrame, rtol: float = RTOL, atol: float = ATOL) -> DataFrame:
-    """Two results (i, j, val) side by side, cells missing in one as 0: i, j, e, a, diff, rel, close. The bound is
+def differences(expected: DataFrame, actual: DataFrame, rtol: float = RTOL, atol: float = ATOL, keys: tuple[str, ...] = ("i", "j")) -> DataFrame:
+    """Two results (keys, val) side by side, cells missing in one as 0: keys, e, a, diff, rel, close. The bound is
     relative to the actual value: |e - a| <= atol + rtol |a|; NaN is close to nothing."""
-    left = expected.select("i", "j", F.col("val").cast("double").alias("e"))
-    right = actual.select("i", "j", F.col("val").cast("double").alias("a"))
-    both = left.join(right, ["i", "j"], "full_outer").withColumns({"e": F.coalesce("e", F.lit(0.0)), "a": F.coalesce("a", F.lit(0.0))})
+    left = expected.select(*keys, F.col("val").cast("double").alias("e"))
+    right = actual.select(*keys, F.col("val").cast("double").alias("a"))
+    both = left.join(right, list(keys), "full_outer").withColumns({"e": F.coalesce("e", F.lit(0.0)), "a": F.coalesce("a", F.lit(0.0))})
     diff = F.abs(F.col("e") - F.col("a"))
     sound = ~(F.isnan("e") | F.isnan("a"))
     return both.withColumns({"diff": diff, "rel": F.abs(F.try_divide(F.col("e") - F.col("a"), F.col("e") + 1e-10)), "close": sound & (diff <= atol + rtol * F.abs("a"))})
