@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import catalogue, multiply, partition, results, stats, structure, verify
+from ..operators import catalogue, multiply, partition, results, runner, stats, structure, verify
 from ..sources import generators, readers, selectors, sinks
-from .lineage import shared_dir, ship
+from .lineage import new_folder, ship
 from .views import as_features, embedding_features, nation_nation, part_part, read, supplier_part, transposed_features
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,10 +61,17 @@ def _aat(strategy: str) -> Query:
     return run
 
 
-for _name, _strategy in (("spgemm_aat", "auto"), ("spmm_broadcast", "broadcast"), ("spmm_merge", "merge"), ("spmm_shuffle_hash", "shuffle_hash"), ("spmm_salted", "salted"), ("spmm_blocked", "blocked")):
+for _name, _strategy in (("spgemm_aat", "auto"), ("spmm_broadcast", "broadcast"), ("spmm_merge", "merge"), ("spmm_shuffle_hash", "shuffle_hash"), ("spmm_blocked", "blocked")):
     query(_name, AAT)(_aat(_strategy))
 
 
+@query("spmm_salted", AAT)
+def spmm_salted(spark, d):
+    """With a limit that most keys are above, so that they are dealt over several tasks."""
+    sp = supplier_part(spark, d)
+    return multiply.salted(sp, transposed_features(sp), hot=50, salts=4)
+
+
 @query("spgemm_square", NNNN)
 def spgemm_square(spark, d):
     nn = nation_nation(spark, d)
@@ -96,6 +102,68 @@ def identity_join(spark, d):
     return multiply.multiply(nn, structure.identity(_nodes(nn, "k")))
 
 
+@query(
+    "dense_rectangular",
+    """WITH c AS (SELECT l_suppkey AS i, CAST(c_nationkey AS BIGINT) AS k, COUNT(*) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+    SELECT i, CAST(n_regionkey AS BIGINT) AS j, CAST(SUM(v * (1 + k % 3)) AS BIGINT) AS val FROM c JOIN nation ON n_nationkey = k GROUP BY 1, 2""",
+)
+def dense_rectangular(spark, d):
+    """Suppliers by nations times nations by regions, with a check of the sizes."""
+    cells = _supplier_customer_nation(spark, d).select("i", F.col("j").cast("long").alias("k"), F.col("val").alias("v"))
+    nations = read(spark, d, "nation")
+    x = nations.select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").cast("long").alias("j"), (1 + F.col("n_nationkey") % 3).cast("long").alias("w"))
+    return multiply.multiply(cells, x, "dense", a_cols=25, x_rows=nations.count())
+
+
+@query("spmm_densified", f"WITH {NN}, c AS (SELECT a.i, b.k AS j, CAST(SUM(a.v * b.v) AS BIGINT) AS val FROM nn a JOIN nn b ON a.k = b.i WHERE a.i % 4 <> 1 AND b.k % 5 <> 2 GROUP BY 1, 2) SELECT CAST(n.n_nationkey AS BIGINT) AS i, m.n_nationkey AS j, COALESCE(c.val, 0) AS val FROM nation n CROSS JOIN nation m LEFT JOIN c ON c.i = n.n_nationkey AND c.j = m.n_nationkey")
+def spmm_densified(spark, d):
+    """A sparse product in full, zeros where no product reaches."""
+    nn = nation_nation(spark, d)
+    product = multiply.multiply(nn.filter("i % 4 <> 1"), as_features(nn.filter("k % 5 <> 2")))
+    return structure.densify(product, read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i")), 25)
+
+
+NN2 = f"{NN}, s AS (SELECT LEAST(i, k) AS a, GREATEST(i, k) AS b, MAX(v) AS v FROM nn GROUP BY 1, 2), sym AS (SELECT a AS i, b AS k, v FROM s UNION ALL SELECT b, a, v FROM s WHERE a <> b)"
+
+
+@query("bfs_clustered_spmm", f"WITH {NN2} SELECT a.i, b.k AS j, CAST(SUM(a.v * b.v) AS BIGINT) AS val FROM sym a JOIN sym b ON a.k = b.i GROUP BY 1, 2")
+def bfs_clustered_spmm(spark, d):
+    """Clusters grown breadth first, the product made cluster by cluster, and merged."""
+    nn = structure.symmetrise(nation_nation(spark, d))
+    return multiply.bfs_clustered(nn, as_features(nn), 25, 120, 3, 0.4)
+
+
+GRAPHS = "sp AS (SELECT CAST(s_nationkey % 3 AS VARCHAR) AS graph_id, l_suppkey AS i, l_partkey AS k, CAST(SUM(l_quantity) AS BIGINT) AS v FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3)"
+
+
+def _graphs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Three graphs of suppliers and parts, by the suppliers' nations, and each one's transpose as its features."""
+    nations = read(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_nationkey") % 3).cast("string").alias("graph_id"))
+    a = supplier_part(spark, d).join(nations, "i").select("graph_id", "i", "k", "v")
+    return a, a.select("graph_id", "k", F.col("i").alias("j"), F.col("v").alias("w"))
+
+
+@query("graph_products", f"WITH {GRAPHS} SELECT a.graph_id, a.i, b.i AS j, CAST(SUM(a.v * b.v) AS BIGINT) AS val FROM sp a JOIN sp b ON a.graph_id = b.graph_id AND a.k = b.k GROUP BY 1, 2, 3")
+def graph_products(spark, d):
+    """The products of many graphs in one job."""
+    return multiply.multiply_graphs(*_graphs(spark, d), "merge")
+
+
+@query(
+    "method_runs",
+    f"""WITH {GRAPHS}, n AS (SELECT CAST(s_nationkey % 3 AS VARCHAR) AS g, COUNT(*) AS n FROM supplier GROUP BY 1), c AS (SELECT graph_id, COUNT(*) AS cells FROM (SELECT DISTINCT a.graph_id, a.i, b.i AS j FROM sp a JOIN sp b ON a.graph_id = b.graph_id AND a.k = b.k) GROUP BY 1)
+    SELECT m AS method, g AS graph_idx, 'graph ' || g AS graph_name, 'matrix' AS graph_type, '2024-01-01' AS date, n AS num_nodes, TRUE AS is_correct, COALESCE(cells, 0)::DOUBLE AS cells FROM n CROSS JOIN (SELECT unnest(['auto', 'shuffle_hash', 'salted']) AS m) LEFT JOIN c ON c.graph_id = g""",
+)
+def method_runs(spark, d):
+    """Several methods over many graphs: the rows that go to the results store."""
+    a, x = _graphs(spark, d)
+    graph = (F.col("s_nationkey") % 3).cast("string")
+    info = read(spark, d, "supplier").groupBy(graph.alias("graph_id")).agg(F.count(F.lit(1)).alias("num_nodes"))
+    info = info.select("graph_id", F.concat(F.lit("graph "), "graph_id").alias("name"), F.lit("matrix").alias("type"), "num_nodes", F.lit(None).cast("double").alias("sparsity"))
+    rows = runner.run_methods(info, a, x, ["auto", "shuffle_hash", "salted"], "2024-01-01")
+    return rows.select("method", "graph_idx", "graph_name", "graph_type", "date", "num_nodes", "is_correct", F.col("metrics")["main"]["cells"]["value"].alias("cells"))
+
+
 @query("cluster_spmm_merge", AAT)
 def cluster_spmm_merge(spark, d):
     sp = supplier_part(spark, d)
@@ -135,11 +203,15 @@ def densify(spark, d):
     SELECT s_suppkey AS i, n_nationkey AS j, COALESCE(c.val, 0) AS val FROM supplier CROSS JOIN nation LEFT JOIN c ON c.i = s_suppkey AND c.j = n_nationkey""",
 )
 def densify_suppliers(spark, d):
+    return structure.densify(_supplier_customer_nation(spark, d), read(spark, d, "supplier").select(F.col("s_suppkey").alias("i")), 25)
+
+
+def _supplier_customer_nation(spark, d) -> DataFrame:
+    """(i, j, val): suppliers by nations of customers, val the lines between."""
     orders, customers = read(spark, d, "orders").select("o_orderkey", "o_custkey"), read(spark, d, "customer").select("c_custkey", "c_nationkey")
     lines = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    cells = joined.groupBy(F.col("l_suppkey").alias("i"), F.col("c_nationkey").alias("j")).agg(F.count(F.lit(1)).alias("val"))
-    return structure.densify(cells, read(spark, d, "supplier").select(F.col("s_suppkey").alias("i")), 25)
+    return joined.groupBy(F.col("l_suppkey").alias("i"), F.col("c_nationkey").alias("j")).agg(F.count(F.lit(1)).alias("val"))
 
 
 @query("relabel", "SELECT o_custkey AS node, ROW_NUMBER() OVER (ORDER BY o_custkey) - 1 AS idx FROM (SELECT DISTINCT o_custkey FROM orders)")
@@ -147,9 +219,21 @@ def relabel(spark, d):
     return structure.relabel(read(spark, d, "orders").select(F.col("o_custkey").alias("node")))
 
 
-@query("symmetrise", f"WITH {SP}, off AS (SELECT i, k + 1000000 AS k, v FROM sp) SELECT i, k, v FROM off UNION ALL SELECT k, i, v FROM off")
+@query("symmetrise", f"WITH {SP}, s AS (SELECT LEAST(i, k) AS a, GREATEST(i, k) AS b, MAX(v) AS v FROM sp GROUP BY 1, 2) SELECT a AS i, b AS k, v FROM s UNION ALL SELECT b, a, v FROM s WHERE a <> b")
 def symmetrise(spark, d):
-    return structure.symmetrise(supplier_part(spark, d).withColumn("k", F.col("k") + 1_000_000))
+    """Numbers of suppliers are also numbers of parts, so that some edges have a value in either direction."""
+    return structure.symmetrise(supplier_part(spark, d))
+
+
+@query(
+    "symmetrise_last",
+    "WITH s AS (SELECT LEAST(l_suppkey, l_partkey) AS a, GREATEST(l_suppkey, l_partkey) AS b, MAX_BY(l_quantity, l_orderkey * 1000 + l_linenumber * 100 + l_quantity) AS v FROM lineitem GROUP BY 1, 2) SELECT a AS i, b AS k, v FROM s UNION ALL SELECT b, a, v FROM s WHERE a <> b",
+)
+def symmetrise_last(spark, d):
+    """Of the cells for an edge the last one counts."""
+    lines = read(spark, d, "lineitem")
+    place = F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity")
+    return structure.symmetrise(lines.select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("k"), F.col("l_quantity").alias("v"), place.alias("at")), "at")
 
 
 @query("transpose", f"WITH {SP} SELECT k AS i, i AS k, v FROM sp")
@@ -223,14 +307,26 @@ def graph_props(spark, d):
     return props.select("nodes", "cells", "max_degree", *[F.round(c, 8 if c == "density" else 6).alias(c) for c in ("mean_degree", "std_degree", "p50", "p90", "avg_degree", "density", "degree_skew")])
 
 
-@query("matrix_stats", f"WITH {SP} SELECT CAST(1000 AS BIGINT) AS rows, CAST(20000 AS BIGINT) AS cols, COUNT(*) AS nnz, COUNT(*) FILTER (v <> 0) AS nonzero, ROUND(1 - COUNT(*) / 20000000.0, 8) AS sparsity FROM sp")
+@query("matrix_stats", f"WITH {SP}, s AS (SELECT (SELECT COUNT(*) FROM supplier) AS rows, (SELECT COUNT(*) FROM part) AS cols) SELECT rows, cols, nnz, nonzero, ROUND(1 - nnz / (rows * cols)::DOUBLE, 8) AS sparsity FROM s CROSS JOIN (SELECT COUNT(*) AS nnz, COUNT(*) FILTER (v % 50 <> 0) AS nonzero FROM sp)")
 def matrix_stats(spark, d):
-    return stats.matrix_stats(supplier_part(spark, d), 1000, 20000).withColumn("sparsity", F.round("sparsity", 8))
+    cells = supplier_part(spark, d).withColumn("v", F.col("v") % 50)
+    return stats.matrix_stats(cells, read(spark, d, "supplier").count(), read(spark, d, "part").count()).withColumn("sparsity", F.round("sparsity", 8))
+
+
+@query(
+    "graph_sample",
+    f"""WITH {PP}, {DEG}, s AS (SELECT degree FROM deg ORDER BY node * 7919 % 10007, node LIMIT 100) SELECT (SELECT COUNT(*) FROM deg) AS nodes, (SELECT MAX(degree) FROM deg) AS max_degree,
+    ROUND(AVG(degree), 6) AS mean_degree, ROUND(STDDEV_POP(degree), 6) AS std_degree, ROUND(QUANTILE_CONT(degree, 0.5), 6) AS p50, ROUND(QUANTILE_CONT(degree, 0.9), 6) AS p90 FROM s""",
+)
+def graph_sample(spark, d):
+    """Statistics of a sample of nodes without replacement, in an order that SQL can repeat."""
+    props = stats.graph_properties(stats.degrees(part_part(spark, d)), 100, order=F.col("node") * 7919 % 10007)
+    return props.select("nodes", "max_degree", *[F.round(c, 6).alias(c) for c in ("mean_degree", "std_degree", "p50", "p90")])
 
 
-@query("edge_density", f"WITH {PP}, {DEG} SELECT pp.i, pp.k, ROUND((a.degree + b.degree) / (2.0 * 20000), 8) AS weight FROM pp JOIN deg a ON a.node = pp.i JOIN deg b ON b.node = pp.k")
+@query("edge_density", f"WITH {PP}, {DEG} SELECT pp.i, pp.k, ROUND((a.degree + b.degree) / (2.0 * (SELECT COUNT(*) FROM part)), 8) AS weight FROM pp JOIN deg a ON a.node = pp.i JOIN deg b ON b.node = pp.k")
 def edge_density(spark, d):
-    return stats.edge_density(part_part(spark, d), 20000).select("i", "k", F.round("weight", 8).alias("weight"))
+    return stats.edge_density(part_part(spark, d), read(spark, d, "part").count()).select("i", "k", F.round("weight", 8).alias("weight"))
 
 
 @query(
@@ -296,14 +392,21 @@ def multiply_memory(spark, d):
     f"""WITH {PP}, {DEG}, front AS (SELECT node, degree FROM deg ORDER BY degree DESC, node LIMIT 10),
     ranked AS (SELECT node, degree, COALESCE(SUM(degree) OVER (ORDER BY degree DESC, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM front),
     expanded AS (SELECT node FROM ranked WHERE before < 1000),
-    claimed AS (SELECT DISTINCT pp.k AS node FROM pp JOIN expanded e ON e.node = pp.i JOIN deg a ON a.node = pp.i JOIN deg b ON b.node = pp.k WHERE (a.degree + b.degree) / (2.0 * 2000) > 0.05 AND pp.k NOT IN (SELECT node FROM front))
+    claimed AS (SELECT DISTINCT pp.k AS node FROM pp JOIN expanded e ON e.node = pp.i JOIN deg a ON a.node = pp.i JOIN deg b ON b.node = pp.k WHERE (a.degree + b.degree) / (2.0 * (SELECT COUNT(*) FROM part)) > 0.05 AND pp.k NOT IN (SELECT node FROM front))
     SELECT node, TRUE AS expanded FROM expanded UNION ALL SELECT node, FALSE FROM claimed""",
 )
 def bfs_hop(spark, d):
     pp = part_part(spark, d)
     degree = stats.degrees(pp)
     frontier = degree.orderBy(F.desc("degree"), "node").limit(10).select("node")
-    return partition.bfs_hop(stats.edge_density(pp, 2000), frontier, degree, 1000, 0.05)
+    return partition.bfs_hop(stats.edge_density(pp, read(spark, d, "part").count()), frontier, degree, 1000, 0.05)
+
+
+@query("seed_node", f"WITH {PP}, {DEG} SELECT node FROM deg WHERE node % 3 <> 0 ORDER BY degree DESC, node LIMIT 1")
+def seed_node(spark, d):
+    """Where the next cluster starts if every third node is taken."""
+    degree = stats.degrees(part_part(spark, d))
+    return partition.next_seed(degree, degree.filter("node % 3 = 0").select("node"))
 
 
 @query("bfs_clusters")
@@ -415,24 +518,34 @@ def metric_rollup(spark, d):
     return _rolled(spark, d).select("user_id", "metric", F.round(F.col("value") + 1e-9, 4).alias("value"), "value_str")
 
 
-@query("derived_ratios", f"WITH {_ROLLED}, p AS (SELECT user_id, MAX(value) FILTER (metric = 'click') AS c, MAX(value) FILTER (metric = 'purchase') AS b, MAX(value) FILTER (metric = 'view') AS v FROM rolled GROUP BY 1) SELECT user_id, ROUND(b / NULLIF(c, 0) * 100, 4) AS conversion, ROUND(c / NULLIF(c + v, 0) * 100, 4) AS hit_rate FROM p")
-def derived_ratios(spark, d):
-    flat = _rolled(spark, d).groupBy("user_id").pivot("metric", ["click", "purchase", "view"]).agg(F.max("value"))
-    c, b, v = F.col("click"), F.col("purchase"), F.col("view")
-    return flat.select("user_id", F.round(results.ratio(b, c) * 100, 4).alias("conversion"), F.round(results.ratio(c, c + v) * 100, 4).alias("hit_rate"))
+_RATIOS = """WITH l AS (SELECT l_suppkey AS s, CAST(SUM(l_quantity) AS BIGINT) AS q, COUNT(*) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS h FROM lineitem GROUP BY 1)
+    SELECT CAST(s AS VARCHAR) AS graph_idx, m.metric, ROUND(CASE m.metric WHEN 'time_duration' THEN q / 1e9 WHEN 'dram_bytes' THEN n WHEN 'dram_throughput' THEN n / (q / 1e9) WHEN 'active_cycles_ratio' THEN h / q::DOUBLE * 100 ELSE h / (h + n)::DOUBLE * 100 END, 6) AS value,
+    CASE m.metric WHEN 'time_duration' THEN 's' WHEN 'dram_bytes' THEN 'byte' WHEN 'dram_throughput' THEN 'B/s' ELSE '%' END AS unit FROM l CROSS JOIN (SELECT unnest(['time_duration', 'dram_bytes', 'dram_throughput', 'active_cycles_ratio', 'l1tex_hit_rate']) AS metric) m"""
 
 
-@query("profiler_metrics", "WITH l AS (SELECT l_suppkey AS s, CAST(SUM(l_quantity) AS BIGINT) AS q, COUNT(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(s AS VARCHAR) AS graph_idx, m.metric, ROUND(CASE m.metric WHEN 'time_duration' THEN q / 1e9 WHEN 'dram_bytes' THEN n ELSE n / (q / 1e9) END, 6) AS value, CASE m.metric WHEN 'time_duration' THEN 's' WHEN 'dram_bytes' THEN 'byte' ELSE 'B/s' END AS unit FROM l CROSS JOIN (SELECT unnest(['time_duration', 'dram_bytes', 'dram_throughput']) AS metric) m")
+@query("profiler_metrics", _RATIOS)
 def profiler_metrics(spark, d):
-    """Samples named as a profiler does, rolled up with the real dimension table, and the throughput made of them."""
+    """Samples named as a profiler does, rolled up with the real dimension table, and the three ratios made of them."""
     lines = read(spark, d, "lineitem").withColumn("action_id", F.monotonically_increasing_id())
-    each = F.explode(F.array(F.struct(F.lit("gpu__time_duration_measured_wallclock.avg").alias("metric"), F.col("l_quantity").alias("value"), F.lit("ns").alias("unit")), F.struct(F.lit("dram__bytes.avg").alias("metric"), F.lit(1.0).alias("value"), F.lit("byte").alias("unit"))))
+    quantity, line, one = F.col("l_quantity"), F.col("l_linenumber").cast("double"), F.lit(1.0)
+    names = {"gpu__time_duration_measured_wallclock.avg": (quantity, "ns"), "dram__bytes.avg": (one, "byte"), "gpu__cycles_active.avg": (line, "cycle"), "gpu__cycles_elapsed.avg": (quantity, "cycle"), "l1tex__t_bytes_lookup_hit.avg": (line, "byte"), "l1tex__t_bytes_lookup_miss.avg": (one, "byte")}
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value"), F.lit(u).alias("unit")) for m, (v, u) in names.items()]))
     samples = lines.select(F.col("l_suppkey").cast("string").alias("graph_idx"), F.lit("main").alias("range"), "action_id", each.alias("m")).select("graph_idx", "range", "action_id", "m.*", F.lit(None).cast("string").alias("value_str"))
     rolled = results.derived(results.rollup(samples, results.metric_dimension(spark), ["graph_idx", "range"]), ["graph_idx", "range"])
-    shown = rolled.filter(F.col("metric").isin("time_duration", "dram_bytes", "dram_throughput"))
+    shown = rolled.filter(F.col("metric").isin("time_duration", "dram_bytes", "dram_throughput", "active_cycles_ratio", "l1tex_hit_rate"))
     return shown.select("graph_idx", "metric", F.round("value", 6).alias("value"), "unit")
 
 
+@query("profiler_report", "SELECT event_type AS method, CAST(user_id AS VARCHAR) AS graph_idx, 'main' AS range, m.metric, CAST(event_id AS INTEGER) AS action_id, ROUND(CASE m.metric WHEN 'value' THEN value ELSE event_id END, 4) AS value, m.unit FROM events CROSS JOIN (SELECT unnest(['value', 'id']) AS metric, unnest(['ms', 'none']) AS unit) m")
+def profiler_report(spark, d):
+    """Nested reports of actions, their ranges and metrics, as one row for each sample."""
+    sample = lambda v, u: F.struct(v.cast("double").alias("value"), F.lit(None).cast("string").alias("value_str"), F.lit(u).alias("unit"))
+    metrics = F.create_map(F.lit("value"), sample(F.col("value"), "ms"), F.lit("id"), sample(F.col("event_id"), "none"))
+    action = F.struct(F.col("event_id").cast("int").alias("action_id"), F.array(F.concat(F.lit(" main  "), F.col("user_id").cast("string"))).alias("ranges"), metrics.alias("metrics"))
+    reports = read(spark, d, "events").groupBy(F.col("event_type").alias("method"), "user_id").agg(F.collect_list(action).alias("actions"))
+    return results.samples_of(reports).select("method", "graph_idx", "range", "metric", "action_id", F.round("value", 4).alias("value"), "unit")
+
+
 @query("pivot_time", "SELECT user_id, " + ", ".join(f"ROUND(MIN_BY(value, event_id) FILTER (event_type = '{t}'), 4) AS \"{t}\"" for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1")
 def pivot_time(spark, d):
     types = ["click", "error", "purchase", "signup", "view"]
@@ -448,12 +561,24 @@ def method_grid(spark, d):
     return cells.select(*_KEYS, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-@query("size_method_series", "SELECT p_brand, p_type, p_partkey, ROW_NUMBER() OVER w - 1 AS position, COUNT(*) OVER (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey ROWS UNBOUNDED PRECEDING) AS so_far FROM part WINDOW w AS (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey)")
-def size_method_series(spark, d):
+@query("running_series", "SELECT p_brand, p_type, p_partkey, ROW_NUMBER() OVER w - 1 AS position, COUNT(*) OVER (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey ROWS UNBOUNDED PRECEDING) AS so_far FROM part WINDOW w AS (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey)")
+def running_series(spark, d):
     done = results.series(read(spark, d, "part"), ["p_brand", "p_type"], ["p_size", "p_partkey"])
     return done.select("p_brand", "p_type", "p_partkey", F.col("position").cast("long").alias("position"), "so_far")
 
 
+@query(
+    "size_method_series",
+    """WITH r AS (SELECT CAST(p_size AS BIGINT) AS num_nodes, p_brand AS method, CAST(p_partkey AS VARCHAR) AS g, COALESCE(CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 7 / 8.0::DOUBLE END, 0) AS sparsity, ROUND(p_retailprice, 2) AS time_seconds, COALESCE(CASE WHEN p_partkey % 2 = 0 THEN 0.5::DOUBLE END, 0) AS time_std FROM part)
+    SELECT num_nodes, method, CAST(ROW_NUMBER() OVER (PARTITION BY num_nodes, method ORDER BY sparsity, g) - 1 AS INTEGER) AS position, sparsity, time_seconds, time_std FROM r""",
+)
+def size_method_series(spark, d):
+    """Parts as results: sizes as nodes, brands as methods; some have neither sparsity nor spread."""
+    key = F.col("p_partkey")
+    rows = read(spark, d, "part").select(F.col("p_size").cast("long").alias("num_nodes"), F.col("p_brand").alias("method"), key.cast("string").alias("graph_index"), F.when(key % 3 != 0, key % 7 / F.lit(8.0)).alias("sparsity"), F.round("p_retailprice", 2).alias("time_seconds"), F.when(key % 2 == 0, 0.5).alias("time_std"))
+    return results.size_method_series(rows)
+
+
 @query("max_annotation", "SELECT user_id, ROUND(MAX(value) * 1.05::DOUBLE, 4) AS height FROM events WHERE value IS NOT NULL GROUP BY 1")
 def max_annotation(spark, d):
     return results.annotation_height(read(spark, d, "events"), "user_id").select("user_id", F.round("height", 4).alias("height"))
@@ -581,14 +706,14 @@ def number_order(spark, d):
 @query("mtx_scan", f"WITH {SP} SELECT i, k, CAST(v AS DOUBLE) AS v FROM sp")
 def mtx_scan(spark, d):
     """Written as Matrix-Market text to the shared folder, and read back."""
-    path = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}"
+    path = new_folder(spark, "matrix")
     sinks.save_matrix_market(supplier_part(spark, d), 100_000, 10_000_000, path)
     return readers.matrix_market(spark, path, folder=True)[1].select("i", "k", "v")
 
 
 @query("edge_list_scan", "WITH e AS (SELECT DISTINCT LEAST(o_orderkey % 500, o_custkey) AS a, GREATEST(o_orderkey % 500, o_custkey) AS b FROM orders) SELECT a AS i, b AS k, CAST(1 AS DOUBLE) AS v FROM e UNION ALL SELECT b, a, 1 FROM e WHERE a <> b")
 def edge_list_scan(spark, d):
-    path = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    path = new_folder(spark, "edges")
     orders = read(spark, d, "orders")
     orders.select(F.concat_ws("\t", (F.col("o_orderkey") % 500).cast("string"), F.col("o_custkey").cast("string"))).union(spark.createDataFrame([("# a comment",)], "c string")).write.text(path, compression="gzip")
     return readers.edge_list(spark, path).select("i", "k", F.col("v").cast("double").alias("v"))
@@ -596,18 +721,91 @@ def edge_list_scan(spark, d):
 
 @query("edge_csv_scan", ORACLE_SQL["edge_list_scan"])
 def edge_csv_scan(spark, d):
-    path = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    path = new_folder(spark, "edges")
     read(spark, d, "orders").select(F.concat_ws(",", (F.col("o_orderkey") % 500).cast("string"), F.col("o_custkey").cast("string"))).write.text(path, compression="gzip")
     return readers.edge_list(spark, path, ",").select("i", "k", F.col("v").cast("double").alias("v"))
 
 
 @query("stored_graph_scan", f"WITH {SP} SELECT CAST(i % 3 AS VARCHAR) AS graph_id, i, k, CAST(v AS DOUBLE) AS v FROM sp WHERE i % 3 <> 1")
 def stored_graph_scan(spark, d):
-    path = f"{shared_dir(spark)}/graphs-{uuid.uuid4().hex}"
+    path = new_folder(spark, "graphs")
     sinks.save_edges(supplier_part(spark, d).select((F.col("i") % 3).cast("string").alias("graph_id"), "i", "k", F.col("v").cast("float").alias("v")), path)
     return readers.stored_graphs(spark, path, ["0", "2"]).select(F.col("graph_id").cast("string").alias("graph_id"), "i", "k", F.col("v").cast("double").alias("v"))
 
 
+@query("mtx_symmetric_scan", f"WITH {NN2} SELECT i, k, CAST(v AS DOUBLE) AS v FROM sym")
+def mtx_symmetric_scan(spark, d):
+    """The lower triangle of a square matrix, read back as the whole."""
+    path = new_folder(spark, "matrix")
+    sinks.save_matrix_market(structure.symmetrise(nation_nation(spark, d)), 25, 25, path, symmetry="symmetric")
+    return readers.square_matrix(spark, path, folder=True).select("i", "k", "v")
+
+
+@query("mtx_array_scan", "SELECT CAST(ROW_NUMBER() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS k, CAST(s_nationkey AS DOUBLE) AS v FROM supplier QUALIFY s_nationkey <> 0")
+def mtx_array_scan(spark, d):
+    """A full vector; its zeros are no cells."""
+    path, suppliers = new_folder(spark, "matrix"), read(spark, d, "supplier")
+    sinks.save_matrix_array(suppliers.select("s_suppkey", F.col("s_nationkey").alias("v")), suppliers.count(), 1, path, "s_suppkey")
+    return readers.matrix_market(spark, path, folder=True)[1].select("i", "k", "v")
+
+
+@query("matrix_adjacency", f"WITH {NN}, p AS (SELECT i, k, v FROM nn WHERE i <= k) SELECT i, k, CAST(v AS DOUBLE) AS v FROM p UNION ALL SELECT k, i, CAST(v AS DOUBLE) FROM p WHERE i <> k")
+def matrix_adjacency(spark, d):
+    """The undirected graph of a square matrix of which only the upper triangle is stored."""
+    path = new_folder(spark, "matrix")
+    sinks.save_matrix_market(nation_nation(spark, d).filter("i <= k"), 25, 25, path)
+    return readers.matrix_graph(readers.square_matrix(spark, path, folder=True)).select("i", "k", "v")
+
+
+@query(
+    "load_dispatch",
+    "WITH p AS (SELECT s_suppkey AS i, s_suppkey + 1 + s_nationkey AS k FROM supplier), u AS (SELECT i, k FROM p UNION ALL SELECT k, i FROM p) SELECT kind, i, k, CAST(1 AS DOUBLE) AS v FROM u CROSS JOIN (SELECT unnest(['csv', 'snap']) AS kind) UNION ALL SELECT 'synthetic', i, k, 1 FROM p",
+)
+def load_dispatch(spark, d):
+    """The reader is chosen by the ending or by a part of the path."""
+    root = new_folder(spark, "sources")
+    pairs = read(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_suppkey") + 1 + F.col("s_nationkey")).alias("k"))
+    pairs.select(F.concat_ws(",", "i", "k")).write.text(f"{root}/edges.csv")
+    pairs.select(F.concat_ws(" ", "i", "k")).write.text(f"{root}/snap/edges")
+    sinks.save_edges(pairs.select(F.lit("0").alias("graph_id"), "i", "k", F.lit(1.0).cast("float").alias("v")), f"{root}/synthetic/graphs")
+    paths = {"csv": "edges.csv", "snap": "snap/edges", "synthetic": "synthetic/graphs"}
+    csv, snap, stored = (readers.load(spark, f"{root}/{path}").select(F.lit(kind).alias("kind"), "i", "k", F.col("v").cast("double").alias("v")) for kind, path in paths.items())
+    return csv.unionByName(snap).unionByName(stored)
+
+
+@query("catalogue_scan", "SELECT 'region ' || n_regionkey AS name, MAX(n_nationkey) AS id, MAX_BY(n_name, n_nationkey) AS \"group\", CAST(MAX(n_nationkey) + 5 AS BIGINT) AS nnz FROM nation GROUP BY 1")
+def catalogue_scan(spark, d):
+    """A JSON array with several entries a name, of which the last counts."""
+    path = new_folder(spark, "catalogue")
+    entry = F.struct(F.col("n_nationkey").alias("id"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("name"), F.col("n_name").alias("group"), F.lit(9).alias("rows"), F.lit(9).alias("cols"), (F.col("n_nationkey") + 5).alias("nnz"))
+    read(spark, d, "nation").agg(F.to_json(F.collect_list(entry))).write.text(path)
+    return readers.catalogue(spark, path, required=True).select("name", "id", "group", "nnz")
+
+
+@query("nested_results_scan", "SELECT event_type AS method, CAST(user_id AS VARCHAR) AS graph_idx, COUNT(*) AS num_nodes, CASE WHEN user_id % 2 = 0 THEN user_id / 4.0::DOUBLE END AS sparsity, user_id % 3 <> 0 AS is_correct, CASE WHEN user_id % 5 <> 0 THEN COUNT(*)::DOUBLE END AS seconds FROM events GROUP BY event_type, user_id")
+def nested_results_scan(spark, d):
+    """The nested format, method to graph to record, written and read back."""
+    path, user = new_folder(spark, "results"), F.col("user_id")
+    counted = read(spark, d, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    metric = F.create_map(F.lit("main"), F.create_map(F.lit("seconds"), F.struct(F.col("n").cast("double").alias("value"), F.lit("s").alias("unit"))))
+    rows = counted.select(F.col("event_type").alias("method"), user.cast("string").alias("graph_idx"), F.lit("g").alias("graph_name"), F.lit("matrix").alias("graph_type"), F.lit("2024").alias("date"), F.col("n").alias("num_nodes"), F.when(user % 2 == 0, user / F.lit(4.0)).alias("sparsity"), (user % 3 != 0).alias("is_correct"), F.when(user % 5 != 0, metric).alias("metrics"))
+    sinks.save_nested_results(rows, path)
+    back = readers.nested_results(spark, path)
+    return back.select("method", "graph_idx", "num_nodes", "sparsity", "is_correct", F.col("metrics")["main"]["seconds"]["value"].alias("seconds"))
+
+
+@query("source_exists", "SELECT unnest(['part', 'region', 'no such table']) AS name, unnest([TRUE, TRUE, FALSE]) AS found")
+def source_exists(spark, d):
+    return spark.createDataFrame([(n, readers.exists(spark, f"{d}/{n}.parquet")) for n in ("part", "region", "no such table")], "name string, found boolean")
+
+
+@query("half_features", "SELECT p_partkey AS k, j::INTEGER AS j, ((p_partkey * 73856093 + j * 19349663 + 42) % 1000003 % 2048) / 2048.0::DOUBLE AS w FROM part CROSS JOIN (SELECT unnest(range(10)) AS j)")
+def half_features(spark, d):
+    """Seeded features in half precision; multiples of 1 / 2048 below 1 stay as they are."""
+    made = generators.random_features(read(spark, d, "part").select(F.col("p_partkey").alias("node")), portable=2048)
+    return made.select("k", "j", scalar.to_half("w").alias("w"))
+
+
 @query("er_graph", "WITH r AS (SELECT unnest(range(400)) AS n), p AS (SELECT a.n AS i, b.n AS k FROM r a JOIN r b ON a.n < b.n WHERE (a.n * 73856093 + b.n * 19349663 + 42) % 1000003 < 0.05::DOUBLE * 1000003) SELECT i, k, CAST(1 AS DOUBLE) AS v FROM p UNION ALL SELECT k, i, 1 FROM p")
 def er_graph(spark, d):
     return generators.erdos_renyi(spark, 400, 0.05, portable=True).select("i", "k", F.col("v").cast("double").alias("v"))

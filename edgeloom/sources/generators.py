@@ -95,7 +95,11 @@ def scale_free(graphs: DataFrame, m: int = ATTACHED, seed: int = 42) -> DataFram
     return graphs.filter(F.col("num_nodes") > m).groupBy("graph_id").applyInPandas(lambda f: make(f), "graph_id string, i long, k long").withColumn("v", F.lit(1.0).cast("float"))
 
 
-def random_features(nodes: DataFrame, width: int = WIDTH, seed: int = 42, node: str = "node") -> DataFrame:
-    """(k, j, w): numbers in [0, 1) from a hash of node and place."""
+def random_features(nodes: DataFrame, width: int = WIDTH, seed: int = 42, node: str = "node", portable: int | None = None) -> DataFrame:
+    """(k, j, w): numbers in [0, 1) from a hash of node and place. With ``portable``, whole multiples of its inverse
+    from a linear hash that any SQL engine can repeat, for tests."""
     cells = nodes.select(F.col(node).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j"))
+    if portable:
+        drawn = (F.col("k") * 73856093 + F.col("j") * 19349663 + seed) % PRIME % portable
+        return cells.withColumn("w", (drawn / F.lit(float(portable))).cast("float"))
     return cells.withColumn("w", (F.pmod(F.xxhash64("k", "j", F.lit(seed)), F.lit(1 << 24)) / F.lit(float(1 << 24))).cast("float"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.catalogue import latest_by_name
 from ..operators.structure import symmetrise
-from ..schema import CATALOGUE, EDGES, RESULTS_FLAT
+from ..schema import CATALOGUE, EDGES, RESULTS_FLAT, require_square
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -63,6 +63,14 @@ def matrix_graph(cells: DataFrame) -> DataFrame:
     return symmetrise(cells.withColumn("order", F.struct("line_block", "line")), "order")
 
 
+def square_matrix(spark: SparkSession, path: str, folder: bool = False) -> DataFrame:
+    """The cells of one square matrix; raises if it isn't square. Reads the header."""
+    headers, cells = matrix_market(spark, path, folder)
+    for h in headers.limit(2).collect():
+        require_square(h["rows"], h["cols"])
+    return cells
+
+
 def edge_list(spark: SparkSession, path: str, separator: str = r"\s+") -> DataFrame:
     """Pairs of node numbers, a line each, ``#`` before comments -> undirected edges (i, k, v = 1), both directions.
     A compressed file is one task to read; its rows are dealt out again by the aggregation."""

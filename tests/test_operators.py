@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from edgeloom import schema
 from edgeloom.functions import scalar
-from edgeloom.operators import catalogue, multiply, partition, results, stats, structure, verify
+from edgeloom.operators import catalogue, multiply, partition, results, runner, stats, structure, verify
 from edgeloom.plans.lineage import estimated_bytes
 
 PATH = [(0, 1, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 1, 1.0)]
@@ -243,12 +243,11 @@ def test_path_isnt_crossed_at_half(spark):
     assert got == {0: None, 1: 0, 2: None}
 
 
-@pytest.mark.parametrize("small", [2000, 1])
-def test_fiedler(spark, small):
+def test_fiedler(spark):
     rng = random.Random(4)
     edges = {tuple(sorted(rng.sample(range(base, base + 12), 2))) for base in (0, 12) for _ in range(40)} | {(3, 15)}
     df = cells(spark, [(a, b, 1.0) for a, b in edges] + [(b, a, 1.0) for a, b in edges])
-    got = {r.node: r.f for r in partition.fiedler(df, rounds=40, small=small).collect()}
+    got = {r.node: r.f for r in partition.fiedler(df).collect()}
     ids = sorted(got)
     m = np.zeros((len(ids), len(ids)))
     for a, b in edges:
@@ -259,6 +258,8 @@ def test_fiedler(spark, small):
     split = {r.node: r.part for r in partition.split_by(spark.createDataFrame(list(got.items()), "node long, f double"), 0.0).collect()}
     assert len({split[v] for v in ids if v < 12}) == 1 and split[0] != split[20]
     assert partition.fiedler(df.limit(0)) is None
+    with pytest.raises(ArithmeticError):
+        partition.fiedler(df, steps=2, restarts=1)
 
 
 def test_range_filter(spark):
@@ -341,3 +342,45 @@ def test_bfs_clusters_of_a_long_path(spark):
     df = cells(spark, edges + [(k, i, v) for i, k, v in edges])
     got = {r.node: r.cluster for r in partition.grow_clusters(df, 68, 10_000, 1, 0.0).collect()}
     assert got == dict.fromkeys(range(68), 0)
+
+
+def test_percentiles_under_ties(spark):
+    values = [0.0] * 900 + [float(k) for k in range(100)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(7)
+    got = stats.percentiles(df, "x", {"a": 0.25, "b": 0.9, "c": 0.905, "d": 0.99, "e": 1.0}).first()
+    assert list(got) == pytest.approx(np.percentile(values[:-1], [25, 90, 90.5, 99, 100]))
+    assert list(stats.percentiles(df.limit(0), "x", {"a": 0.5}).first()) == [None]
+
+
+def test_sums_before(spark):
+    df = spark.createDataFrame([(k * 37 % 101, k % 7) for k in range(101)], "x long, n long")
+    got = {r.x: r.s for r in structure.sums_before(df, ("x",), {"s": F.col("n")}, parts=6).collect()}
+    size = {k * 37 % 101: k % 7 for k in range(101)}
+    assert got == {x: sum(size[y] for y in range(x)) for x in size}
+
+
+def test_products_of_many_graphs(spark):
+    graphs = {"a": (noise(20), noise(21, 25, 6)), "b": (noise(22), noise(23, 25, 9)), "none": ([], noise(24, 25, 3))}
+    a = spark.createDataFrame([(g, *c) for g, (m, _) in graphs.items() for c in m], "graph_id string, i long, k long, v long")
+    x = spark.createDataFrame([(g, *c) for g, (_, m) in graphs.items() for c in m], "graph_id string, k long, j long, w long")
+    for strategy in ("auto", "blocked", "salted"):
+        got = table(multiply.multiply_graphs(a, x, strategy), "graph_id", "i", "j", "val")
+        assert got == {(g, *c): v for g, (m, n) in graphs.items() for c, v in plain_product(m, n).items()}
+    multiply.register_strategy("wrong", lambda a, x: multiply.auto(a, x).withColumn("val", F.col("val") + F.when(F.col("i") < 30, 1).otherwise(0)))
+    try:
+        info = spark.createDataFrame([(g, f"graph {g}", "synthetic", 30, 0.5) for g in graphs], "graph_id string, name string, type string, num_nodes long, sparsity double")
+        rows = {(r.method, r.graph_idx): r for r in runner.run_methods(info, a, x, ["auto", "merge", "wrong"], "today").collect()}
+    finally:
+        del multiply.STRATEGIES["wrong"]
+    assert len(rows) == 9 and {k for k, r in rows.items() if not r.is_correct} == {("wrong", "a")}
+    assert rows["merge", "b"].metrics["main"]["cells"].value == len(plain_product(*graphs["b"])) and rows["merge", "none"].metrics["main"]["cells"].value == 0
+    assert rows["auto", "a"].graph_name == "graph a" and rows["auto", "a"].date == "today"
+
+
+def test_sizes_are_checked(spark):
+    a, x = cells(spark, PATH), feats(spark, [[1.0]] * 3)
+    assert multiply.multiply(a, x, a_cols=3, x_rows=3).count() == 3
+    with pytest.raises(schema.ShapeError):
+        multiply.multiply(a, x, a_cols=3, x_rows=4)
+    with pytest.raises(schema.ShapeError):
+        multiply.multiply(a, x.withColumn("j", F.col("j") + 5000), "wide")
