@@ -1,9 +1,10 @@
 """Mixing sources to target weights.
 
 The words of each source are packed into blocks of a fixed length; the number of slots of each source is its
-target in blocks; the slots of an output shard are a multinomial draw of sources, conditioned on those totals
-(a keyed pseudorandom permutation deals all slots over the shards), so that every source comes to its target
-and reruns agree; a slot's running number within its source goes through a pseudorandom permutation of the
+target in blocks; the source counts of an output shard are a multinomial draw conditioned on those totals. They
+are drawn by a keyed pseudorandom permutation that deals all slots over the shards, which gives exactly that
+distribution (``shard_counts`` has them): free multinomial draws would miss the targets by their own spread and
+could pass the limit of ``cap``. So every source comes to its target and reruns agree; a slot's running number within its source goes through a pseudorandom permutation of the
 source's block numbers, a new one for each pass over the source; slots and blocks are joined by block number.
 
 Targets: the weights repeat over the sources in code point order, null last; the sources share all words by
@@ -12,9 +13,10 @@ A slot number below ``cap`` times the number of blocks uses each block ``cap`` t
 exceeds ``cap`` times its size.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source; repeated rows
-are documents of their own; an empty table gives an empty table; other columns are not read, or carried along
-by ``mixed_documents``. Nothing is gathered in one task but one row for each source and, within a source, one
-row for each ``BUCKET_DOCS`` documents.
+are documents of their own, each numbered where it is first written, so as many rows come out of ``mix`` as go
+in, also where id, text or both are equal in one or several sources; an empty table gives an empty table; other
+columns are not read, or carried along by ``mixed_documents`` whatever their names. No task sees more than a
+range of the sources, of the buckets of ``BUCKET_DOCS`` documents or so, or of equal rows.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.structure import sums_before
+from ..plans.lineage import cut
 from .tables import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,26 +72,32 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _targets(sources: DataFrame, weights: tuple, cap: int) -> DataFrame:
-    """sources: source, source_size, ... -> with rank, weight and target. One row a source."""
-    in_order = Window.orderBy(F.col("source").asc_nulls_last())
+def _key(*parts: int) -> int:
+    """64 bits from whole numbers."""
+    x = np.uint64(0)
+    for part in parts:
+        x = _mixed(np.array([x ^ np.uint64(part % (1 << 64))]))[0]
+    return int(x)
+
+
+def _targets(per_source: DataFrame, weights: tuple, cap: int) -> DataFrame:
+    """per_source: source, source_size, ... -> with rank, weight and target. One row a source."""
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
-    ranked = sources.withColumn("rank", F.row_number().over(in_order) - 1).withColumn("weight", weight).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
+    ranked = sums_before(per_source, (F.col("source").asc_nulls_last(),), {"rank": F.lit(1).cast("long")})
+    ranked = ranked.withColumn("weight", weight).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
     # In the order of most / weight, the sources before some place are at their limit. The level is what
     # the words left over come to a unit of weight at the first place where no limit is passed.
-    before = Window.orderBy(F.col("most") / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy()
-    left = F.sum("source_size").over(total) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    level = left / (F.sum("weight").over(total) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    leveled = ranked.withColumn("level", level)
-    fits = F.when(F.col("level") <= F.col("most") / F.col("weight"), F.col("level"))
-    leveled = leveled.withColumn("level", F.coalesce(F.max(fits).over(total), F.lit(float("inf"))))
-    return leveled.withColumn("target", F.least("most", F.col("level") * F.col("weight"))).drop("most", "level")
+    leveled = cut(sums_before(ranked.withColumn("bound", F.col("most") / F.col("weight")), ("bound", "rank"), {"most_before": F.col("most"), "weight_before": F.col("weight")}))
+    total = leveled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(total["size"]) - F.col("most_before")) / (F.lit(total["weight"]) - F.col("weight_before"))
+    found = leveled.agg(F.max(F.when(level <= F.col("bound"), level))).first()[0]
+    target = F.least(F.col("most"), F.lit(float("inf") if found is None else found) * F.col("weight"))
+    return leveled.withColumn("target", target).drop("most", "bound", "most_before", "weight_before")
 
 
-def _slots(sources: DataFrame, seed: int) -> DataFrame:
-    """shard, slot and block of every slot. sources: rank, n_blocks, first_block, slots, first_slot, slots_total."""
-    chunks = sources.filter("slots > 0").select("rank", "n_blocks", "first_block", "slots", "first_slot", "slots_total", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {CHUNK_SLOTS}"))).alias("chunk"))
+def _slots(sources: DataFrame, seed: int, slots_total: int) -> DataFrame:
+    """shard, slot, rank and block of every slot. sources: rank, n_blocks, first_block, slots, first_slot."""
+    chunks = sources.filter("slots > 0").select("rank", "n_blocks", "first_block", "slots", "first_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {CHUNK_SLOTS}"))).alias("chunk"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,53 +106,79 @@ def _slots(sources: DataFrame, seed: int) -> DataFrame:
                 block = np.empty(len(i), np.int64)
                 for turn in np.unique(i // r["n_blocks"]).tolist():
                     of = i // r["n_blocks"] == turn
-                    block[of] = permuted(i[of] % r["n_blocks"], r["n_blocks"], hash((seed, r["rank"], turn)))
-                at = permuted(r["first_slot"] + i, r["slots_total"], seed)
-                yield pa.RecordBatch.from_pydict({"shard": at // SHARD_SLOTS, "slot": at % SHARD_SLOTS, "block": r["first_block"] + block})
+                    block[of] = permuted(i[of] % r["n_blocks"], r["n_blocks"], _key(seed, r["rank"], turn))
+                at = permuted(r["first_slot"] + i, slots_total, seed)
+                yield pa.RecordBatch.from_pydict({"shard": at // SHARD_SLOTS, "slot": at % SHARD_SLOTS, "rank": np.full(len(i), r["rank"], np.int64), "block": r["first_block"] + block})
 
     n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return chunks.repartition(n, "rank", "chunk").mapInArrow(deal, "shard long, slot long, block long")
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """With __k1 and __k2, together 128 bits that stand for id and text and are never null."""
-    text = docs[text_col].cast("string")
-    return docs.withColumns({"__k1": F.xxhash64(docs[id_col], text), "__k2": F.xxhash64(text, F.lit(1))})
-
-
-def plan(docs: DataFrame, seed: int = 1, weights: tuple = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> dict[str, DataFrame]:
-    """fragments (k1, k2, copy, ..., block, skip, words: the words of a document that lie in a block), slots
-    (shard, slot, block) and sources. k1, k2 and copy name a row of ``docs``."""
-    ws = Workspace(docs.sparkSession, "mix")
-    keyed = _keyed(docs, id_col, text_col)
-    size = F.coalesce(F.regexp_count(keyed[text_col].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = ws.keep(keyed.select(keyed[id_col].alias("id"), keyed[source_col].cast("string").alias("source"), size.alias("size"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2")), "sized")
+    return chunks.repartition(n, "rank", "chunk").mapInArrow(deal, "shard long, slot long, rank long, block long")
+
+
+def _sized(docs: DataFrame, row: Column, id_: Column, text: Column, source: Column) -> DataFrame:
+    """row (a number of its own for each row), part (where it was written), id, source, size, k1 and k2, together
+    128 bits that stand for id and text and are never null."""
+    text = text.cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(row.alias("row"), F.spark_partition_id().alias("part"), id_.alias("id"), source.cast("string").alias("source"), size.alias("size"), F.xxhash64(id_, text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"))
+
+
+def _copies(tagged: DataFrame, ws: Workspace) -> DataFrame:
+    """row, copy: rows that are equal in source, id and text are numbered from 0, so that they are dealt like others
+    and alike each time; a row that has no equal isn't in the table. They are counted by the part they were
+    written in, and numbered part by part, so that no task sees all of them."""
+    key = ["rank", "k1", "k2"]
+    several = ws.keep(tagged.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key), "several")
+    equal = ws.keep(tagged.join(several, key, "left_semi").select(*key, "part", "row"), "equal")
+    along = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = equal.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.select(*key, "part", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy(*key, "part").orderBy("row")) - 1
+    placed = equal.withColumn("nth", nth).join(counted, [*key, "part"])
+    return placed.select("row", (F.col("before") + F.col("nth")).alias("copy"))
+
+
+def _plan(sized: DataFrame, ws: Workspace, seed: int, weights: tuple, cap: int) -> dict[str, DataFrame]:
+    """fragments (row, id, size, source_size, target, block, skip, words: the words of a document that lie in a
+    block), slots (shard, slot, rank, block) and sources."""
+    sized = ws.keep(sized, "sized")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = ws.keep(_targets(per_source, weights, cap), "targets")
+    to_rank = targets.select(F.col("source").alias("of"), "rank", "source_size", "n_docs", "target")
+    tagged = sized.join(to_rank, sized["source"].eqNullSafe(to_rank["of"])).drop("source", "of")
+    tagged = ws.keep(tagged, "tagged")
+    numbered = tagged.join(ws.keep(_copies(tagged, ws), "copies"), "row", "left").withColumn("copy", F.coalesce("copy", F.lit(0).cast("long")))
     # Buckets of some thousand documents each, in which offsets are running sums.
-    bucket = F.pmod(F.xxhash64("k1", F.lit(seed)), F.expr(f"(n_docs + {BUCKET_DOCS - 1}) div {BUCKET_DOCS}"))
-    bucketed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("id", "k1", "k2", "size", "rank", "source_size", "target", bucket.alias("bucket"))
-    within = Window.partitionBy("rank", "bucket").orderBy("id", "k1", "k2").rowsBetween(Window.unboundedPreceding, 0)
-    same = Window.partitionBy("rank", "bucket", "id", "k1", "k2").orderBy("k1")
-    placed = ws.keep(bucketed.withColumns({"start": F.sum("size").over(within) - F.col("size"), "copy": F.row_number().over(same)}), "placed")
+    bucket = F.pmod(F.xxhash64("k1", "copy", F.lit(seed)), F.expr(f"(n_docs + {BUCKET_DOCS - 1}) div {BUCKET_DOCS}"))
+    within = Window.partitionBy("rank", "bucket").orderBy("k1", "k2", "copy").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ws.keep(numbered.withColumn("bucket", bucket).select("row", "id", "size", "rank", "source_size", "target", "bucket", (F.sum("size").over(within) - F.col("size")).alias("start")), "placed")
     buckets = placed.groupBy("rank", "bucket").agg(F.expr(f"(sum(size) + {BLOCK_WORDS - 1}) div {BLOCK_WORDS}").alias("blocks"))
-    along = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = ws.keep(buckets.withColumn("bucket_block", F.sum("blocks").over(along) - F.col("blocks")), "buckets")
-    by_rank = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    sources = targets.join(buckets.groupBy("rank").agg(F.sum("blocks").alias("n_blocks")), "rank")
+    # Blocks are numbered on from bucket to bucket and from source to source.
+    buckets = ws.keep(sums_before(buckets, ("rank", "bucket"), {"at": F.col("blocks")}), "buckets")
+    sources = targets.join(buckets.groupBy("rank").agg(F.sum("blocks").alias("n_blocks"), F.min("at").alias("first_block")), "rank")
     in_blocks = F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("long")
     slots = F.when(F.col("source_size") > 0, F.least(in_blocks, F.col("n_blocks") * F.lit(cap))).otherwise(F.lit(0).cast("long"))
-    sources = sources.withColumn("slots", slots).withColumns({"first_block": F.sum("n_blocks").over(by_rank) - F.col("n_blocks"), "first_slot": F.sum("slots").over(by_rank) - F.col("slots"), "slots_total": F.sum("slots").over(Window.partitionBy())})
-    sources = ws.keep(sources, "sources")
+    sources = ws.keep(sums_before(sources.withColumn("slots", slots), ("rank",), {"first_slot": F.col("slots")}), "sources")
+    slots_total = sources.agg(F.sum("slots")).first()[0] or 0
     # The blocks that a document's words fall into. One without words gets a number of its own below 0.
-    own = placed.join(buckets, ["rank", "bucket"]).join(sources.select("rank", "first_block"), "rank")
+    own = placed.join(buckets.select("rank", "bucket", "at"), ["rank", "bucket"])
     spread = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {BLOCK_WORDS}"), F.expr(f"(start + size - 1) div {BLOCK_WORDS}"))).otherwise(F.array(F.lit(-1).cast("long")))
-    spread = own.select("id", "k1", "k2", "copy", "size", "source_size", "target", "start", (F.col("first_block") + F.col("bucket_block")).alias("at"), F.explode(spread).alias("n"))
+    spread = own.select("row", "id", "size", "source_size", "target", "start", "at", F.explode(spread).alias("n"))
     begin, some = F.greatest(F.col("n") * BLOCK_WORDS, "start"), F.col("n") >= 0
-    block = F.when(some, F.col("at") + F.col("n")).otherwise(-1 - F.pmod("k1", F.lit(1 << 62)))
+    block = F.when(some, F.col("at") + F.col("n")).otherwise(-1 - F.col("row"))
     words = F.when(some, F.least((F.col("n") + 1) * BLOCK_WORDS, F.col("start") + F.col("size")) - begin).otherwise(F.lit(0).cast("long"))
-    fragments = spread.select("id", "k1", "k2", "copy", "size", "source_size", "target", block.alias("block"), F.when(some, begin - F.col("start")).otherwise(F.lit(0).cast("long")).alias("skip"), words.alias("words"))
-    return {"fragments": fragments, "slots": _slots(sources, seed), "sources": sources}
+    fragments = spread.select("row", "id", "size", "source_size", "target", block.alias("block"), F.when(some, begin - F.col("start")).otherwise(F.lit(0).cast("long")).alias("skip"), words.alias("words"))
+    return {"fragments": fragments, "slots": _slots(sources, seed, slots_total), "sources": sources}
+
+
+def plan(docs: DataFrame, seed: int = 1, weights: tuple = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> dict[str, DataFrame]:
+    """The tables of ``_plan``; ``row`` numbers the rows of ``docs`` in no defined order."""
+    ws = Workspace(docs.sparkSession, "mix")
+    return _plan(_sized(docs, F.monotonically_increasing_id(), docs[id_col], docs[text_col], docs[source_col]), ws, seed, weights, cap)
+
+
+def shard_counts(parts: dict[str, DataFrame]) -> DataFrame:
+    """shard, rank, slots: the counts of the sources drawn for each output shard."""
+    return parts["slots"].groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("slots"))
 
 
 def _with_uses(parts: dict[str, DataFrame]) -> DataFrame:
@@ -155,7 +191,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """One row per document: the id (as doc_id), size, source_size, target, taken (words the mix takes,
     repeats counted)."""
     used = _with_uses(plan(docs, **options))
-    taken = used.groupBy("id", "k1", "k2", "copy", "size", "source_size", "target").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    taken = used.groupBy("row", "id", "size", "source_size", "target").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
@@ -172,16 +208,18 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"\n".join(text[bounds[a][0] : bounds[b - 1][1]] for a, b in merged)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 1, weights: tuple = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents as the mix takes them, with the columns of ``docs``: for each of the passes 1..cap one
     row for each document of which some block is used so often, with the words of those blocks. A document
     that the pass takes whole keeps its text as it is."""
-    used = _with_uses(plan(docs, id_col=id_col, text_col=text_col, **options)).filter("uses > 0")
-    passes = used.select("k1", "k2", "copy", "size", "skip", "words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))).alias("turn"))
-    spans = passes.groupBy("k1", "k2", "copy", "turn").agg(F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("__spans"), (F.sum("words") == F.max("size")).alias("__whole"))
-    once = _keyed(docs, id_col, text_col).withColumn("__n", F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.lit(0)))).filter("__n = 1")
-    spans = spans.select(F.col("k1").alias("__s1"), F.col("k2").alias("__s2"), "__spans", "__whole")
-    taken = once.join(spans, (once["__k1"] == spans["__s1"]) & (once["__k2"] == spans["__s2"])).select(*docs.columns, F.when(~F.col("__whole"), F.col("__spans")).alias("__spans"))
+    ws = Workspace(docs.sparkSession, "mix")
+    # As one column, so that no name of the input's meets another.
+    whole = ws.keep(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")), "whole")
+    of = lambda c: F.col("doc").getField(c)
+    used = _with_uses(_plan(_sized(whole, F.col("row"), of(id_col), of(text_col), of(source_col)), ws, seed, weights, cap)).filter("uses > 0")
+    passes = used.select("row", "size", "skip", "words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))).alias("turn"))
+    spans = passes.groupBy("row", "turn").agg(F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("spans"), (F.sum("words") == F.max("size")).alias("all"))
+    taken = whole.join(spans, "row").select(*[of(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], F.when(~F.col("all"), F.col("spans")).alias("spans"))
     names, at = list(docs.columns), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.lineage import shared_dir, ship
+from ..plans.lineage import new_folder, ship
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,14 +12,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The names, each with as many more underscores before it as make it differ from all columns."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 class Workspace:
     """Parquet tables in the shared folder. They survive the loss of executors, are read with column
-    pruning, and their size is known to the planner. ``drop`` removes those no longer needed."""
+    pruning, and their size is known to the planner. ``drop`` removes those no longer needed, and the end of the
+    session all others, as results read from them."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         ship(spark)
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, label)
 
     def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Written, and read again; ``by`` names a column whose values get a folder each, so that a filter on it

@@ -93,3 +93,66 @@ def test_slots_are_distinct_and_shards_full(spark):
     assert len(set(slots)) == len(slots)
     sizes = Counter(s for s, _ in slots)
     assert all(sizes[s] == mixing.SHARD_SLOTS for s in range(len(sizes) - 1))
+
+
+def plain_mix(rows, seed=1):
+    """rows: (row, source, size, k1, k2), fewer than a bucket of each source. Words taken of each row, by packing all
+    words into a list of blocks, dealing the slots one by one, and counting."""
+    sizes = Counter()
+    for _, source, size, _, _ in rows:
+        sizes[source] += size
+    in_order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    want = targets_by_hand({s: sizes[s] for s in in_order})
+    taken = Counter()
+    for rank, source in enumerate(in_order):
+        words = [row for row, s, size, k1, k2 in sorted(rows, key=lambda r: (r[3], r[4])) if s == source for _ in range(size)]
+        blocks = [words[k : k + mixing.BLOCK_WORDS] for k in range(0, len(words), mixing.BLOCK_WORDS)]
+        slots = min(int(np.floor(want[source] * len(blocks) / sizes[source] + 0.5)), 3 * len(blocks)) if words else 0
+        for i in range(slots):
+            turn, at = divmod(i, len(blocks))
+            taken.update(blocks[mixing.permuted(np.array([at]), len(blocks), mixing._key(seed, rank, turn))[0]])
+    return taken
+
+
+def test_against_a_plain_mix(spark):
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join("w%d" % x for x in rng.integers(0, 9, rng.integers(0, 300)))
+    docs = [(i, text(), s) for i, s in enumerate(rng.choice(["a", "b", "c"], 300, p=[0.05, 0.25, 0.7]).tolist())]
+    docs += [(i, t, None) for i, t, _ in docs[:40]] + [(None, None, "a"), (500, "", "b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    from pyspark.sql import functions as F
+
+    keys = df.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2")).collect()
+    rows = [((d, s), s, len(WORD.findall(t or "")), k.k1, k.k2) for (d, t, s), k in zip(docs, keys)]
+    want = plain_mix(rows)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(docs)
+    assert Counter((r.doc_id, r.size, r.taken) for r in got) == Counter((d, size, want[d, s]) for (d, s), _, size, _, _ in rows)
+
+
+def test_one_text_in_several_sources_and_equal_rows(spark):
+    many, few = " ".join(f"a{k}" for k in range(640)), " ".join(f"b{k}" for k in range(640))
+    docs = [(1, many, "x"), (1, many, "y"), (2, few, "x"), (2, few, "y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mixing.mix(df, weights=(1, 1)).collect()
+    assert sorted((r.doc_id, r.taken) for r in rows) == [(1, 640), (1, 640), (2, 640), (2, 640)]
+    mixed = sorted((r.doc_id, r.source, r.text) for r in mixing.mixed_documents(df, weights=(1, 1)).collect())
+    assert mixed == sorted((d, s, t) for d, t, s in docs)
+    equal = spark.createDataFrame([(None, few, "x", k) for k in range(300)] + [(7, many, "y", 0)], "doc_id long, text string, source string, n long").repartition(5)
+    for part in (equal, equal.coalesce(2)):
+        out = mixing.mix(part).collect()
+        assert len(out) == 301 and all(r.taken <= 3 * r.size for r in out)
+    assert sorted(map(str, mixing.mix(equal).collect())) == sorted(map(str, mixing.mix(equal.coalesce(2)).collect()))
+    taken = sum(r.taken for r in mixing.mix(equal).collect())
+    assert sum(len(WORD.findall(r.text)) for r in mixing.mixed_documents(equal).collect()) == taken
+
+
+def test_counts_of_a_shard_are_those_of_a_draw(spark):
+    words = " ".join(["w"] * 6400)
+    df = spark.createDataFrame([(k, words, "abc"[k % 3]) for k in range(300)], "doc_id long, text string, source string")
+    counts = {(r.shard, r.rank): r.slots for r in mixing.shard_counts(mixing.plan(df)).collect()}
+    shards = max(s for s, _ in counts)
+    for rank, share in enumerate((5 / 8, 2 / 8, 1 / 8)):
+        drawn = np.array([counts[s, rank] for s in range(shards)])
+        spread = np.sqrt(mixing.SHARD_SLOTS * share * (1 - share))
+        assert abs(drawn.mean() - mixing.SHARD_SLOTS * share) < spread and 0.5 * spread < drawn.std() < 1.6 * spread
