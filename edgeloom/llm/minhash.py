@@ -8,9 +8,9 @@ a component is what links reach, and its smallest id is kept.
    of 128 registers. Each element draws a random permutation of the registers; at rank j it offers j plus a
    random fraction to the register of that rank. All elements of many documents go through rank j together, and
    a document stops once each of its registers has a value below the next rank, as later offers can't be less.
-2. Documents with equal sets are one class, of which the smallest id goes on.
+2. Rows with equal sets are one class, which goes on under a number of its own; classes that an id is in are linked.
 3. 32 bands of 4 registers. A pair at 0.75 shares no band once in 200,000 times. Each member of a bucket is paired
-   with the bucket's smallest id, so a group of n copies makes n pairs. Pairs whose signatures agree in less
+   with the bucket's first class, so a group of n copies makes n pairs. Pairs whose signatures agree in less
    than ``LEAST_AGREEMENT`` (a pair at 0.75 does once in 200,000 times) go, the best one of each document is
    verified on the full sets, and links are grouped.
 4. What one leader can't show: buckets that still hold more than one component compare all signatures across
@@ -19,8 +19,8 @@ a component is what links reach, and its smallest id is kept.
    none emits its pairs.
 
 Defined results: a null or empty text, or one without words, has an empty set and is its own component; a null
-id links with nothing; rows with equal ids are one document that has the links of all of them, and each gives a
-row; an empty table gives an empty table; only the id and text columns are read, whatever others exist.
+id links with nothing; rows with equal ids are one document that has the links of all of them, whatever their texts,
+and each gives a row with its own set's size; an empty table gives an empty table; only the id and text columns are read, whatever others exist.
 """
 
 from __future__ import annotations
@@ -122,8 +122,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
         def out(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             sizes = np.array([len(s) for s in sets], np.int64)
             signed = lanes(signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets)))
-            prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            pairs = [np.frombuffer(p, "<i8").tolist() if p else (None, None) for p in prints]
+            pairs = [_fingerprint(s) for s in sets]
             bands = [signed[k] if n else None for k, n in enumerate(sizes)]
             return pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": sizes, "f1": pa.array([p[0] for p in pairs], pa.int64()), "f2": pa.array([p[1] for p in pairs], pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
@@ -144,8 +143,13 @@ def _sketches(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>")
 
 
+def _fingerprint(found: np.ndarray) -> tuple:
+    """128 bits of a set, as two signed numbers; nulls for an empty one."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), "<i8").tolist()) if len(found) else (None, None)
+
+
 def _sets(texts: DataFrame) -> DataFrame:
-    """id, items: the sorted distinct hashes."""
+    """id, f1, f2 (fingerprint), items: the sorted distinct hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -153,9 +157,10 @@ def _sets(texts: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [shingles(t or b"", hashes).view(np.int64) for t in pc.cast(part.column(1), pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_pydict({"id": part.column(0), "items": pa.array(found, pa.list_(pa.int64()))})
+                prints = [_fingerprint(x) for x in found]
+                yield pa.RecordBatch.from_pydict({"id": part.column(0), "f1": pa.array([p[0] for p in prints], pa.int64()), "f2": pa.array([p[1] for p in prints], pa.int64()), "items": pa.array(found, pa.list_(pa.int64()))})
 
-    return texts.mapInArrow(run, "id long, items array<long>")
+    return texts.mapInArrow(run, "id long, f1 long, f2 long, items array<long>")
 
 
 def _agreeing(pairs: DataFrame) -> DataFrame:
@@ -257,20 +262,33 @@ class Dedup:
         self.texts = _texts(df, id_col, text_col)
         self.sketches = self.ws.keep(_sketches(self.texts), "sketches")
         known = self.sketches.filter("n > 0 and id is not null")
-        self.classes = self.ws.keep(known.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "classes")
-        rep = self.classes.select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), "rep")
-        self.reps = self.ws.keep(known.join(rep, (known["f1"] == rep["c1"]) & (known["f2"] == rep["c2"]) & (known["id"] == rep["rep"])).select("id", "n", "f1", "f2", "bands").dropDuplicates(["f1", "f2"]), "reps")
+        # Numbered where they are written; from here on a class is its number.
+        self.classes = self.ws.keep(known.groupBy("f1", "f2").agg(F.min("id").alias("rep")).withColumn("class", F.monotonically_increasing_id()), "classes")
+        of = self.classes.select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), "rep", "class")
+        joined = known.join(of, (known["f1"] == of["c1"]) & (known["f2"] == of["c2"]))
+        self.members = self.ws.keep(joined.select("id", "n", "class"), "members")
+        self.reps = self.ws.keep(joined.filter("id = rep").select(F.col("class").alias("id"), "rep", "n", "f1", "f2", "bands").dropDuplicates(["id"]), "reps")
+
+    def shared_ids(self) -> DataFrame:
+        """u, v: classes that hold the same id, each with the first of them."""
+        several = self.members.groupBy("id").agg(F.min("class").alias("lead"), F.max("class").alias("last")).filter("lead < last")
+        several = self.ws.keep(several.select("id", "lead"), "shared-ids")
+        return self.members.join(several, "id").filter("class <> lead").select(F.col("lead").alias("u"), F.col("class").alias("v")).distinct()
 
     def buckets(self) -> DataFrame:
-        """key, band, id, lead: the members of the buckets of two or more, and the smallest id of each."""
+        """key, band, id, lead: the members of the buckets of two or more, and the first class of each."""
         members = self.reps.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "band", "id")
         leads = members.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
         leads = self.ws.keep(leads, "leads")
         return self.ws.keep(members.join(leads, "key"), "buckets")
 
     def sets_of(self, ids: DataFrame, name: str) -> DataFrame:
-        ids = self.ws.keep(ids.select("id").distinct(), f"ids-{name}")
-        return self.ws.keep(_sets(self.texts.join(ids, "id", "left_semi")), f"sets-{name}")
+        """id, items: the set of each class, made again from the text of a row that is in it."""
+        wanted = self.reps.join(ids.select("id").distinct(), "id", "left_semi")
+        wanted = self.ws.keep(wanted.select(F.col("id").alias("class"), "rep", F.col("f1").alias("g1"), F.col("f2").alias("g2")), f"ids-{name}")
+        made = _sets(self.texts.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi"))
+        own = made.join(wanted, (F.col("id") == F.col("rep")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")))
+        return self.ws.keep(own.select(F.col("class").alias("id"), "items").dropDuplicates(["id"]), f"sets-{name}")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """a, b -> u, v, those whose full sets are linked."""
@@ -307,6 +325,7 @@ class Dedup:
         stars = buckets.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
         stars = stars.join(sigs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bands").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("sb")), "b")
         links = self.verified(_best(_agreeing(stars.select("a", "b", "na", "nb", "sa", "sb"))))
+        links = links.union(self.ws.keep(self.shared_ids(), "links-shared"))
         roots = self.ws.keep(components(links, self.ws, "stars"), "roots")
         more = self.across(buckets, roots)
         if more.isEmpty():
@@ -318,8 +337,13 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per row of ``df``: id (as doc_id), n_shingles, component_id, kept."""
     work = Dedup(df, id_col, text_col)
     roots = work.run()
-    rooted = work.ws.keep(work.classes.join(roots, work.classes["rep"] == roots["node"], "left").select("f1", "f2", F.coalesce("root", "rep").alias("root")), "classes-rooted")
-    plain = work.sketches.select("id", "n", "f1", "f2")
-    some = plain.filter("n > 0 and id is not null").join(rooted, ["f1", "f2"]).select("id", "n", "root")
-    none = plain.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("root"))
-    return some.union(none).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), (F.col("id") == F.col("root")).alias("kept"))
+    rooted = work.classes.join(roots, work.classes["class"] == roots["node"], "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
+    rooted = work.ws.keep(rooted, "classes-rooted")
+    least = work.ws.keep(rooted.groupBy("root").agg(F.min("rep").alias("component")), "components-least")
+    named = work.ws.keep(rooted.join(least, "root").select("class", "component"), "classes-named")
+    some = work.members.join(named, "class").select("id", "n", "component")
+    # A row without words has the component of the others of its id, if there are any.
+    none = work.sketches.filter("n = 0 or id is null").select("id", "n")
+    own = work.ws.keep(some.join(none.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("component").alias("component")), "of-empty")
+    none = none.join(own, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    return some.union(none).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))

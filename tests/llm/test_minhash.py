@@ -18,9 +18,15 @@ def shingle_set(text):
 
 
 def by_hand(docs):
-    """docs: (id, text). Returns id -> (n, component)."""
-    sets = {d: shingle_set(t) for d, t in docs}
-    root = {d: d for d in sets}
+    """docs: (id, text), ids once. Returns id -> (n, component)."""
+    root, sizes = by_hand_rows(docs)
+    return {d: (sizes[k], root[d]) for k, (d, _) in enumerate(docs)}
+
+
+def by_hand_rows(docs):
+    """docs: (id, text), ids as often as you like. Returns id -> component, and the set's size of each row."""
+    sets = {k: shingle_set(t) for k, (_, t) in enumerate(docs)}
+    root = {d: d for d, _ in docs}
 
     def find(x):
         while root[x] != x:
@@ -35,9 +41,9 @@ def by_hand(docs):
     for a, b in pairs:
         both = len(sets[a] & sets[b])
         if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-            x, y = find(a), find(b)
+            x, y = find(docs[a][0]), find(docs[b][0])
             root[max(x, y)] = min(x, y)
-    return {d: (len(sets[d]), find(d)) for d in sets}
+    return {d: find(d) for d in root}, [len(sets[k]) for k in range(len(docs))]
 
 
 def same(rows, docs):
@@ -103,3 +109,25 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
 def test_testdata(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     same(minhash.near_dedup(df).collect(), [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
+
+
+def test_one_id_with_several_texts(spark):
+    t1, t2, t3 = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash.near_dedup(df([(1, t1), (5, t1), (3, t2), (5, t2)])).collect()}
+    assert got == {(1, 1), (5, 1), (3, 1)}
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_dedup(df([(2, t1), (2, t2), (2, ""), (2, None), (9, t3), (8, t2), (8, "a b")])).collect())
+    assert got == [(2, 0, 2), (2, 0, 2), (2, 36, 2), (2, 36, 2), (8, 1, 2), (8, 36, 2), (9, 36, 9)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_repeated_ids(spark, seed):
+    rng = random.Random(seed)
+    docs = []
+    for group in range(60):
+        words = ["g%dw%d" % (group, rng.randrange(300)) for _ in range(rng.choice([0, 3, 40, 80]))]
+        for _ in range(rng.choice([1, 2, 5])):
+            docs.append((rng.randrange(120), " ".join(edited(rng, words, rng.choice([0, 0.02, 0.05])))))
+    root, sizes = by_hand_rows(docs)
+    rows = minhash.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows) == sorted((d, sizes[k], root[d], root[d] == d) for k, (d, _) in enumerate(docs))
