@@ -248,8 +248,10 @@ def train(df: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str =
     return langs, fit(vocabulary(rank_file), keys, np.stack([totals[k] for k in keys]))
 
 
-def predict(df: DataFrame, rank_file: str, langs: list[str], p: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``df``: all its columns, and __lang and __score."""
+def predict(df: DataFrame, rank_file: str, langs: list[str], p: np.ndarray, text_col: str = "text", names: tuple[str, str] = ("__lang", "__score")) -> DataFrame:
+    """One row per row of ``df``: all its columns, and language and score by ``names``; columns of those names that
+    ``df`` has give way to them."""
+    df = df.select(*[df[c] for c in df.columns if c.lower() not in {n.lower() for n in names}])
     columns = list(df.columns)
     at = columns.index(text_col)
     model = df.sparkSession.sparkContext.broadcast(p.astype(np.float64))
@@ -258,21 +260,21 @@ def predict(df: DataFrame, rank_file: str, langs: list[str], p: np.ndarray, id_c
         scorer = Scorer(vocabulary(rank_file), model.value) if langs else None
         for batch in batches:
             for part, texts in in_parts(batch, at):
-                names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                found, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if scorer:
                     logs = scorer.score(texts)
                     some = np.nonzero(logs.any(axis=1))[0]
                     for k in some:
                         shares = np.exp(logs[k] - logs[k].max())
                         best = int(shares.argmax())
-                        names[k], scores[k] = langs[best], shares[best] / shares.sum()
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(columns))), pa.array(names, pa.string()), pa.array(scores)], names=[*columns, "__lang", "__score"])
+                        found[k], scores[k] = langs[best], shares[best] / shares.sum()
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(columns))), pa.array(found, pa.string()), pa.array(scores)], names=[*columns, *names])
 
-    return df.mapInArrow(run, df.select("*", F.lit("").alias("__lang"), F.lit(0.0).alias("__score")).schema)
+    return df.mapInArrow(run, df.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema)
 
 
 def identify(df: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     langs, p = train(df, rank_file, id_col, text_col, lang_col, sample_docs)
     texts = df.select(df[id_col].alias("doc_id"), held_out(df[id_col]).alias("held_out"), df[text_col].cast("string").alias("text"))
-    return predict(texts, rank_file, langs, p, "doc_id", "text").select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return predict(texts, rank_file, langs, p, "text").select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))

@@ -55,17 +55,19 @@ def covered_lines(df: DataFrame, id_col: str, text_col: str, ws: Workspace) -> D
     return lines.groupBy("__k1", "__k2").agg(F.collect_set("line").alias("__covered"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``df`` with the text without later occurrences, and two more, __lines and __removed:
-    how many lines the text had and how many went."""
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("__lines", "__removed")) -> DataFrame:
+    """The columns of ``df`` with the text without later occurrences, and two more, by ``names``: how many lines
+    the text had and how many went. Columns of those names that ``df`` has give way to them."""
     ws = Workspace(df.sparkSession, "lines")
     covered = covered_lines(df, id_col, text_col, ws).withColumnsRenamed({"__k1": "__c1", "__k2": "__c2"})
-    rest = [c for c in df.columns if c != text_col]
-    # Split below the join: above it, the lines are a column and not an expression that each use repeats.
-    split = df.select(*[df[c] for c in rest], *[c.alias(n) for n, c in _key(df, id_col, text_col).items()], F.split(df[text_col].cast("string"), "\n").alias("__all"))
+    kept = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+    # Other columns as one, so that no name meets another. Split below the join: above it, the lines are a column
+    # and not an expression that each use repeats.
+    rest = F.struct(*[df[c] for c in kept if c != text_col]).alias("__rest")
+    split = df.select(rest, *[c.alias(n) for n, c in _key(df, id_col, text_col).items()], F.split(df[text_col].cast("string"), "\n").alias("__all"))
     joined = split.join(covered, (split["__k1"] == covered["__c1"]) & (split["__k2"] == covered["__c2"]), "left")
     n = F.size("__all")
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__covered"))
     text = F.when(F.col("__covered").isNull(), F.array_join("__all", "\n")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("__all"), i)), "\n"))
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in df.columns]
-    return joined.select(*columns, F.coalesce(n, F.lit(0)).cast("long").alias("__lines"), F.coalesce(F.size("__covered"), F.lit(0)).cast("long").alias("__removed"))
+    columns = [(text if c == text_col else F.col("__rest").getField(c)).alias(c) for c in kept]
+    return joined.select(*columns, F.coalesce(n, F.lit(0)).cast("long").alias(names[0]), F.coalesce(F.size("__covered"), F.lit(0)).cast("long").alias(names[1]))

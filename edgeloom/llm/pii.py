@@ -121,10 +121,10 @@ def _name(form: Column, digest: Column, attempt: Column) -> Column:
 
 
 def staged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The columns of ``df``, __k1 and __k2 (for id and text, never null), __raw (the entities) and __some (1 if
-    there are any)."""
+    """doc (the columns of ``df`` as one, so that no name meets another), __k1 and __k2 (for id and text, never
+    null), __raw (the entities) and __some (1 if there are any)."""
     text = df[text_col].cast("string")
-    keyed = df.withColumns({"__k1": F.xxhash64(df[id_col], text), "__k2": F.xxhash64(text, F.lit(1)), "__raw": F.regexp_extract_all(text, F.lit(pattern()), F.lit(0))})
+    keyed = df.select(F.struct(*[df[c] for c in df.columns]).alias("doc"), F.xxhash64(df[id_col], text).alias("__k1"), F.xxhash64(text, F.lit(1)).alias("__k2"), F.regexp_extract_all(text, F.lit(pattern()), F.lit(0)).alias("__raw"))
     return keyed.withColumn("__some", F.when(F.size("__raw") > 0, 1).otherwise(0))
 
 
@@ -196,8 +196,9 @@ def _rendered() -> Column:
     return F.concat("head", F.when(F.col("type").isin("secret", "iban"), by_character).otherwise(cased))
 
 
-def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``df`` with surrogates in the text, and __entities, their number."""
+def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_name: str = "__entities") -> DataFrame:
+    """The columns of ``df`` with surrogates in the text, and by ``count_name`` their number; a column of that name
+    that ``df`` has gives way to it."""
     ws = Workspace(df.sparkSession, "pii")
     # Searched once. Texts without entities, most of them, aren't shuffled.
     stage = ws.keep(staged(df, id_col, text_col), "staged", by="__some")
@@ -208,8 +209,10 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     per_text = replaced.groupBy("__k1", "__k2").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("__new"))
     per_text = ws.keep(per_text.select(F.col("__k1").alias("__c1"), F.col("__k2").alias("__c2"), F.col("__new.new").alias("__new")), "replaced")
     joined = having.join(per_text, (having["__k1"] == per_text["__c1"]) & (having["__k2"] == per_text["__c2"]))
-    between = F.split(F.col(text_col).cast("string"), pattern())
+    kept = [c for c in df.columns if c.lower() != count_name.lower()]
+    of = lambda c: F.col("doc").getField(c)
+    between = F.split(of(text_col).cast("string"), pattern())
     whole = F.array_join(F.flatten(F.zip_with(between, F.col("__new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    changed = joined.select(*[whole.alias(c) if c == text_col else F.col(c) for c in df.columns], F.size("__new").cast("long").alias("__entities"))
-    same = stage.filter("__some = 0").select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in df.columns], F.lit(0).cast("long").alias("__entities"))
+    changed = joined.select(*[(whole if c == text_col else of(c)).alias(c) for c in kept], F.size("__new").cast("long").alias(count_name))
+    same = stage.filter("__some = 0").select(*[(of(c).cast("string") if c == text_col else of(c)).alias(c) for c in kept], F.lit(0).cast("long").alias(count_name))
     return same.unionByName(changed)

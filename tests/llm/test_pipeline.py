@@ -70,3 +70,10 @@ def test_run(spark, tmp_path):
     spark.createDataFrame(corpus(), SCHEMA).drop("extra").write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.filter(F.col("n_tokens") > 0).count() == out.count() > 0
+
+
+def test_no_text_of_a_kept_id_is_lost(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a, "en", "s", 0, 1), (1, b, "en", "s", 0, 2), (1, b, "en", "s", 0, 3), (2, b, "en", "s", 0, 4), (3, c, "en", "s", 0, 5)]
+    out = dict(corpus_pipeline.STAGES)["minhash_dedup"](spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, a), (1, b), (3, c)]
