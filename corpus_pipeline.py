@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of documents.
 Nulls, empty tables, ties and repeated rows are as the operators define them; an empty table passes through
-all stages. ORACLE_SQL is None: language ID and tokenisation can't be expressed in SQL, so the tests compare
+all stages, and other columns do whatever their names. Near-dedup keeps each different text of a kept id. ORACLE_SQL is None: language ID and tokenisation can't be expressed in SQL, so the tests compare
 the stages with brute force.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm import byte_bpe, language_id, line_dedup, minhash, mixing
-from edgeloom.llm.tables import Workspace, read
+from edgeloom.llm.tables import Workspace, free_names, read
 
 LANGUAGE_PIECES = "byte_bpe_multi_50k.tiktoken"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -33,25 +33,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without letters go, and those that no language explains better than all others together."""
     ranks = public_tokenizers.path(LANGUAGE_PIECES)
     langs, p = language_id.train(docs, ranks)
-    found = language_id.predict(docs, ranks, langs, p)
-    kept = found.filter((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+    lang, score = free_names(docs, "lang_found", "score_found")
+    found = language_id.predict(docs, ranks, langs, p, names=(lang, score))
+    kept = found.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line windows go, and documents of which nothing is left."""
-    done = line_dedup.dedup_lines(docs)
-    left = done.filter((F.col("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    lines, removed = free_names(docs, "lines_found", "lines_removed")
+    done = line_dedup.dedup_lines(docs, names=(lines, removed))
+    left = done.filter((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return _texts_changed(docs, left)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, and all that have no id."""
-    kept = minhash.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    once = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = once.withColumn("__first", first).filter("__first = 1").select(*docs.columns)
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group stays, and all that have no id. Of rows with one id, which are one document, each
+    different text stays once."""
+    kept = minhash.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    once = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
+    (nth,) = free_names(docs, "nth")
+    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.xxhash64("text", F.lit(1))).orderBy(F.lit(0)))
+    named = once.withColumn(nth, first).filter(F.col(nth) == 1).select(*docs.columns)
+    return named.unionByName(docs.filter(F.col("doc_id").cast("long").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
