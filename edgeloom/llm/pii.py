@@ -1,13 +1,18 @@
 """PII: detected entities get keyed surrogates of the same type and format, in DataFrame functions only.
 
-Detected are e-mail addresses, IPv4 addresses, phone (after a plus sign in any groups, else (ddd) ddd-dddd and
-ddd-ddd-dddd), card, social security and bank account numbers, secrets
-(after token, password and the like, of any length; key ids, long hexadecimal strings) and names after a title. An entity's
+Detected are e-mail addresses, IPv4 addresses, phone numbers (after a plus sign in any groups, else (ddd) ddd-dddd,
+ddd-ddd-dddd, and after a 0 an area with one or two groups or five pairs), card, social security and bank account
+numbers, secrets (after token, password and the like; key ids; hexadecimal strings of 32 or more, with digits and
+letters) and names after a
+title with all their capitalised parts. None of these has an upper length but by its own rules (an account number's 34).
+Texts of any length are searched whole, in time that grows in proportion. An entity's
 form for comparison is lower case, for numbers the digits alone, so that all its mentions get one surrogate
 (coreference). Surrogates come from SHA-256 over key, type, form and attempt: digits become digits, letters
 letters, hexadecimal letters hexadecimal letters, in the case and with the separators of the mention; the top-level
 domain, the country code and the first digit of a card stay, the card's check digit is made to fit; an address
-stays a valid address; a name keeps gender, script and number of parts.
+stays a valid address; a name keeps gender, script (Latin, Cyrillic, Greek or Armenian; in any other it becomes
+Latin) and number of parts. Where a table holds about as many entities of a form as the form has values, the
+last ones get surrogates that are longer than the form.
 
 Distinct entities keep distinct surrogates, and none is an entity of the table: those for which that fails,
 except the first of several, are drawn again until all hold (collision check over the distinct entities).
@@ -25,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .tables import Workspace
 
-# The forms of entities. Bounded or possessive repeats, and a start that can't lie within a longer run, keep the
-# search linear on any text.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+# The forms of entities. Possessive repeats without upper ends where a form has none, and a start that can't lie
+# within a longer run, keep the search linear on any text.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?=[A-Za-z0-9])[A-Za-z0-9.-]+\.[A-Za-z]{2,}+"
 IPV4 = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"
 #: A plus sign and 8 to 15 digits in any groups, with up to three signs between digits; where the run is longer, groups of
 #: 2-4 digits, or else what of it has 15 digits at most and ends with a group. Without a plus sign two forms.
@@ -35,16 +40,19 @@ _APART = r"[ .()/\u00A0\u2011\u202F-]{0,3}"
 PHONE_PLUS = rf"(?<![\p{{L}}\p{{N}}+])\+(?:\d(?:{_APART}+\d){{7,14}}+(?!{_APART}\d)|\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]\d{{2,4}}){{1,4}}(?!\d)|\d{{8,15}}(?!\d)|\d(?:{_APART}\d){{7,14}}(?!\d))"
 PHONE_BRACKET = r"(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
 PHONE_PLAIN = r"(?<![\p{L}\p{N}]|\d-)(?:1-)?\d{3}-\d{3}-\d{4}(?![\p{L}\p{N}]|-\d)"
+#: National numbers after a 0: an area and one or two groups, or pairs of digits.
+PHONE_ZERO = r"(?<![\p{L}\p{N}.,/+-])(?:\(0[1-9]\d{1,3}\) ?\d{3,8}|0[1-9]\d{1,3}[ /-]\d{5,8}|0[1-9]\d{1,3} \d{3,4} \d{3,4}|0[1-9](?<pair>[ .])\d{2}(?:\k<pair>\d{2}){3}(?!\k<pair>\d))(?![\p{L}\p{N}]|[.,-]\d)"
 #: Country codes; those of three digits are all others.
 COUNTRY = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
-CARD = r"(?<![\p{L}\p{N}])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\p{L}\p{N}])"
+CARD = r"(?<![\p{L}\p{N}])\d{4}(?<between>[ -]?)\d{4}\k<between>\d{4}\k<between>\d{4}(?![\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
-IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-NAMED = r"(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_./+-]{8,}+"
+IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+NAMED = r"(?i:token|password|passwd|secret|api[_-]?key)\s*+[=:]\s*+[\"']?[A-Za-z0-9_./+-]{8,}+"
 KEY_ID = r"(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])"
-HEX = r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])"
+HEX = r"(?<![\p{L}\p{N}])(?=[a-fA-F]*+\d)(?=\d*+[a-fA-F])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])"
 TITLES = {"m": ["Mr", "Herr", "Señor", "Monsieur", "г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "г-жа"]}
-NAME = r"(?<![\p{L}\p{N}])(?:%s)\.? \p{Lu}[\p{L}'-]{1,30}(?: \p{Lu}[\p{L}'-]{1,30})?" % "|".join(TITLES["m"] + TITLES["f"])
+PARTICLES = ["van", "von", "der", "den", "de", "di", "da", "del", "la", "le", "du", "ten", "ter", "zu", "al", "bin", "ibn"]
+NAME = r"(?<![\p{L}\p{N}])(?:%s)\.? (?:(?:%s) )*+\p{Lu}[\p{L}'’-]++(?: (?:(?:%s) )*+\p{Lu}[\p{L}'’-]++)*+" % ("|".join(TITLES["m"] + TITLES["f"]), "|".join(PARTICLES), "|".join(PARTICLES))
 
 #: In the order in which they are tried. A look at the next character, cheaper than the look behind that follows,
 #: rules most places out.
@@ -52,7 +60,7 @@ TYPES = {
     "email": EMAIL,
     "secret": f"{NAMED}|(?=A)(?:{KEY_ID})|(?=[0-9a-fA-F])(?:{HEX})",
     "ipv4": rf"(?=\d)(?:{IPV4})",
-    "phone": rf"(?=\+)(?:{PHONE_PLUS})|(?=\()(?:{PHONE_BRACKET})|(?=\d)(?:{PHONE_PLAIN})",
+    "phone": rf"(?=\+)(?:{PHONE_PLUS})|(?=\()(?:{PHONE_BRACKET})|(?=\d)(?:{PHONE_PLAIN})|(?=[0(])(?:{PHONE_ZERO})",
     "iban": f"(?=[A-Z])(?:{IBAN})",
     "card": rf"(?=\d)(?:{CARD})",
     "ssn": rf"(?=\d)(?:{SSN})",
@@ -61,35 +69,53 @@ TYPES = {
 
 # Names by script and gender, family names in two halves.
 GIVEN = {
-    "latin": {"m": ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Marco", "Nils", "Oscar", "Paul"], "f": ["Anna", "Berta", "Clara", "Diana", "Elena", "Frida", "Greta", "Helena", "Irene", "Julia", "Karin", "Laura", "Maria", "Nora", "Olga", "Paula"]},
-    "cyrillic": {"m": ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл"], "f": ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Ксения", "Лидия"]},
+    "latin": {
+        "m": "Adam Albert Anton Bruno Carl Daniel David Edgar Emil Erik Felix Frank Georg Gustav Hans Hugo Ivan Jakob Jonas Karl Leon Louis Marco Martin Nils Oscar Otto Paul Peter Simon Thomas Victor".split(),
+        "f": "Ada Agnes Alma Anna Berta Carla Clara Diana Edith Elena Emma Eva Frida Greta Hanna Helena Ida Irene Julia Karin Laura Lena Lucia Maria Martha Nora Olga Paula Rosa Sara Sophie Vera".split(),
+    },
+    "cyrillic": {
+        "m": "Антон Борис Вадим Виктор Глеб Давид Денис Егор Иван Игорь Кирилл Лев Максим Никита Олег Павел".split(),
+        "f": "Алла Анна Вера Галина Дарья Елена Зоя Инна Ирина Ксения Лидия Мария Нина Ольга Раиса Софья".split(),
+    },
+    "greek": {
+        "m": "Αλέξης Βασίλης Γιώργος Δημήτρης Ηλίας Κώστας Μάριος Νίκος".split(),
+        "f": "Άννα Βάσω Ελένη Ζωή Ειρήνη Κατερίνα Μαρία Σοφία".split(),
+    },
+    "armenian": {
+        "m": "Արամ Արմեն Գարիկ Դավիթ Հայկ Սարգիս Տիգրան Վահան".split(),
+        "f": "Աննա Անի Գայանե Լիլիթ Մարիամ Նարե Սոնա Շուշան".split(),
+    },
 }
 FAMILY = {
-    "latin": (["Al", "Ber", "Cor", "Dal", "Es", "Fer", "Gar", "Hal", "Is", "Jor", "Kel", "Lan", "Mar", "Nor", "Or", "Par"], ["den", "field", "gard", "holm", "ing", "land", "man", "ner", "quist", "rell", "sen", "ston", "ter", "ville", "win", "by"]),
-    "cyrillic": (["Бор", "Вол", "Гор", "Дан", "Ерш", "Зор", "Кар", "Лук"], ["ин", "ов", "аев", "енко", "ский", "ун", "ич", "ко"]),
+    "latin": ("Al Ber Cor Dal Es Fer Gar Hal Is Jor Kel Lan Mar Nor Or Par".split(), "den field gard holm ing land man ner quist rell sen ston ter ville win by".split()),
+    "cyrillic": ("Бор Вол Гор Дан Ерш Зор Кар Лук".split(), "ин ов аев енко ский ун ич ко".split()),
+    "greek": ("Αλεξ Βασ Γεωρ Δημ Καλ Μαρ Παπ Σταυρ".split(), "άκης όπουλος ίδης άτος έας ίου άκος ούλης".split()),
+    "armenian": ("Աբ Բար Գրիգ Դան Կար Մար Պետ Սար".split(), "յան ունի ենց ոսյան ակյան իկյան ումյան եսյան".split()),
 }
-_DIGITS, _LETTERS, _HEX = "012345678901234567", "qwertyuiopasdfghjk", "abcdefabcdefabcdef"
+#: Draws after which a surrogate has a character more with each draw.
+SAME_LENGTH = 4
+_LETTERS = "qwertyuiopasdfgh"
 
 
 def pattern() -> str:
-    """One pattern for all types; its back-reference is numbered for the only group that captures."""
+    """One pattern for all types."""
     return "|".join(f"(?:{p})" for p in TYPES.values())
 
 
 def _digest(*parts: Column, length: Column) -> Column:
-    """Hexadecimal digits: ``length`` of them at least, and not fewer than 256."""
-    text = F.concat_ws("\x1f", *parts)
-    block = lambda k: F.sha2(F.concat(text, F.lit("\x1f"), k.cast("string")), 256)
-    more = F.when(length > 256, F.array_join(F.transform(F.sequence(F.lit(4), F.ceil(length / 64).cast("int")), block), "")).otherwise("")
-    return F.concat(*[block(F.lit(k)) for k in range(4)], more)
+    """Hexadecimal digits: ``length`` of them at least."""
+    base = F.sha2(F.concat_ws("\x1f", *parts), 256)
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(length / 64).cast("int")), lambda k: F.sha2(F.concat(base, k.cast("string")), 256))
+    return F.array_join(blocks, "")
 
 
 def _mapped(form: Column, digest: Column, hexadecimal: Column) -> Column:
     """Each digit and letter of a form becomes another of its kind; other characters stay."""
-    digit = lambda d: F.translate(d, "abcdef", "135790")
-    letter = lambda d: F.when(hexadecimal, F.translate(d, "0123456789", "abcdefabcd")).otherwise(F.translate(d, "0123456789abcdef", _LETTERS[:16]))
-    drawn = F.slice(F.split(digest, ""), F.lit(1), F.length(form))
-    return F.array_join(F.zip_with(F.split(form, ""), drawn, lambda c, d: F.when(c.rlike("[0-9]"), digit(d)).when(c.rlike(r"\p{L}"), letter(d)).otherwise(c)), "")
+    # Both alphabets over the whole digest: a condition within the walk would be tested for each character.
+    letters = F.when(hexadecimal, F.translate(digest, "0123456789", "abcdefabcd")).otherwise(F.translate(digest, "0123456789abcdef", _LETTERS))
+    drawn = F.zip_with(F.split(F.translate(digest, "abcdef", "135790"), ""), F.split(letters, ""), lambda d, x: F.struct(d.alias("d"), x.alias("x")))
+    drawn = F.slice(drawn, F.lit(1), F.length(form))
+    return F.array_join(F.zip_with(F.split(form, ""), drawn, lambda c, d: F.when(c.between("0", "9"), d.d).when(c.rlike(r"\p{L}"), d.x).otherwise(c)), "")
 
 
 def _check_digit(digits: Column) -> Column:
@@ -99,23 +125,23 @@ def _check_digit(digits: Column) -> Column:
     return ((10 - F.aggregate(doubled, F.lit(0), lambda a, b: a + b) % 10) % 10).cast("string")
 
 
-def _pick(values: list[str], digest: Column, at: int) -> Column:
-    number = F.conv(F.substring(digest, at, 6), 16, 10).cast("long")
+def _pick(values: list[str], digest: Column, at: Column) -> Column:
+    number = F.conv(F.substr(digest, at, F.lit(6)), 16, 10).cast("long")
     return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
 
 
 def _name(form: Column, digest: Column, attempt: Column) -> Column:
-    """form: gender, script and parts, with spaces between. The more attempts, the longer the family name."""
-    out = F.lit(None).cast("string")
+    """form: gender, script and parts, with spaces between. A given name for each part but the last; the family name
+    has a part more after every second attempt, so that there are always enough."""
+    parts, out = F.size(F.split(form, " ")) - 2, F.lit(None).cast("string")
+    at = lambda k: (k * 12 + 1).cast("int")
     for script in GIVEN:
         front, back = FAMILY[script]
-        family = F.concat(_pick(front, digest, 1), _pick(back, digest, 7))
-        longer = F.concat(family, F.lit("-"), _pick(front, digest, 13), _pick(back, digest, 19))
-        longest = F.concat(longer, F.lit("-"), _pick(front, digest, 25), _pick(back, digest, 31))
-        family = F.when(attempt > 5, longest).when(attempt > 2, longer).otherwise(family)
+        family = F.transform(F.sequence(F.lit(0), F.floor(attempt / 2).cast("int")), lambda k: F.concat(_pick(front, digest, at(k)), _pick(back, digest, at(k) + 6)))
+        family = F.array_join(family, "-")
         for gender in GIVEN[script]:
-            given = _pick(GIVEN[script][gender], digest, 40)
-            here = F.when(F.size(F.split(form, " ")) > 3, F.concat(given, F.lit(" "), family)).otherwise(family)
+            given = F.transform(F.sequence(F.lit(2), parts), lambda k: _pick(GIVEN[script][gender], F.reverse(digest), at(k)))
+            here = F.when(parts > 1, F.concat(F.array_join(given, " "), F.lit(" "), family)).otherwise(family)
             out = F.when(form.startswith(f"{gender} {script} "), here).otherwise(out)
     return out
 
@@ -137,35 +163,47 @@ def mentions(having: DataFrame) -> DataFrame:
         kind = F.when(raw.rlike(f"^(?:{form})$"), F.lit(name)).otherwise(kind)
     rows = rows.withColumn("type", kind)
     titles = "|".join(TITLES["m"] + TITLES["f"])
-    named = r"^(?i:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
-    head = F.when(F.col("type") == "secret", F.regexp_extract(raw, f"({named}|^AKIA|^)", 1)).when(F.col("type") == "name", F.regexp_extract(raw, rf"^((?:{titles})\.? )", 1)).when(F.col("type") == "phone", F.regexp_extract(raw, rf"^({COUNTRY}|1-|)", 1)).otherwise(F.lit(""))
+    named = r"^(?i:token|password|passwd|secret|api[_-]?key)\s*+[=:]\s*+[\"']?"
+    head = F.when(F.col("type") == "secret", F.regexp_extract(raw, f"({named}|^AKIA|^)", 1)).when(F.col("type") == "name", F.regexp_extract(raw, rf"^((?:{titles})\.? )", 1)).when(F.col("type") == "phone", F.regexp_extract(raw, rf"^({COUNTRY}|1-|\(?0|)", 1)).otherwise(F.lit(""))
     rows = rows.withColumn("head", head)
     body = F.expr("substring(raw, length(head) + 1)")
     gender = F.when(F.col("head").rlike("^(?:%s)" % "|".join(rf"{t}\.? " for t in TITLES["m"])), F.lit("m")).otherwise(F.lit("f"))
-    script = F.when(body.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    script = F.lit("latin")
+    for other in ("cyrillic", "greek", "armenian"):
+        script = F.when(body.rlike(rf"\p{{Is{other.title()}}}"), F.lit(other)).otherwise(script)
     form = F.when(F.col("type").isin("phone", "card", "ssn"), F.regexp_replace(body, r"\D", "")).when(F.col("type") == "iban", F.lower(F.regexp_replace(body, " ", ""))).when(F.col("type") == "name", F.concat_ws(" ", gender, script, F.lower(body))).otherwise(F.lower(body))
     return rows.withColumn("form", form)
 
 
 def _surrogates(entities: DataFrame, key: str) -> DataFrame:
     """type, form, attempt -> with the surrogate of the form."""
-    form, kind, attempt = F.col("form"), F.col("type"), F.col("attempt")
-    digest = _digest(F.lit(key), kind, form, attempt.cast("string"), length=F.length(form))
-    plain = F.lit(False)
-    local, domain, tld = F.substring_index(form, "@", 1), F.regexp_extract(form, r"@(.*)\.[^.]*$", 1), F.substring_index(form, ".", -1)
+    form, kind, attempt, grown = F.col("form"), F.col("type"), F.col("attempt"), F.col("grown")
+    # After some draws the form grows: each more multiplies the space that the next ones are drawn from. What is
+    # used several times is a column, so that it is computed once.
+    out = entities.withColumn("grown", F.greatest(attempt - SAME_LENGTH, F.lit(0)).cast("int"))
+    enough = F.greatest(F.length(form), 12 * (attempt + F.size(F.split(form, " ")) + 4)) + grown
+    out = out.withColumn("digest", _digest(F.lit(key), kind, form, attempt.cast("string"), length=enough))
+    digest, plain = F.col("digest"), F.lit(False)
+    local, domain, tld = F.concat(F.substring_index(form, "@", 1), F.repeat(F.lit("x"), grown)), F.regexp_extract(form, r"@(.*)\.[^.]*$", 1), F.substring_index(form, ".", -1)
     email = F.concat(_mapped(local, digest, plain), F.lit("@"), _mapped(domain, _digest(F.lit(key), F.lit("domain"), domain, length=F.length(domain)), plain), F.lit("."), tld)
     octet = lambda k: F.conv(F.substring(digest, 8 * k + 1, 6), 16, 10).cast("long")
-    ipv4 = F.concat_ws(".", *[(octet(k) % 254 + 1).cast("string") for k in range(4)])
-    mapped = _mapped(form, digest, (kind == "secret") & form.rlike("^[0-9a-f]+$"))
+    more = F.when(grown > 0, F.concat(F.lit("."), F.translate(F.substr(digest, F.lit(40), grown), "abcdef", "123456"))).otherwise("")
+    ipv4 = F.concat(F.concat_ws(".", *[(octet(k) % 254 + 1).cast("string") for k in range(4)]), more)
+    longer = F.concat(form, F.repeat(F.when(kind == "secret", F.lit("a")).otherwise(F.lit("0")), grown))
+    whole = F.when(~kind.isin("email", "ipv4", "name"), _mapped(longer, digest, (kind == "secret") & form.rlike("^[0-9a-f]+$")))
+    out = out.withColumn("mapped", whole)
+    mapped = F.col("mapped")
     card = F.concat(F.substring(form, 1, 1), F.expr("substring(mapped, 2, length(mapped) - 2)"))
     iban = F.concat(F.substring(form, 1, 2), F.expr("substring(mapped, 3)"))
-    out = entities.withColumn("mapped", mapped)
-    surrogate = F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "card", F.concat(card, _check_digit(card))).when(kind == "iban", iban).when(kind == "name", _name(form, digest, attempt)).otherwise(F.col("mapped"))
+    surrogate = F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "card", F.concat(card, _check_digit(card))).when(kind == "iban", iban).when(kind == "name", _name(form, digest, attempt)).otherwise(mapped)
     return out.withColumn("surrogate", surrogate).select("type", "form", "attempt", "surrogate")
 
 
 def entity_table(found: DataFrame, key: str, ws: Workspace) -> DataFrame:
-    """type, form, surrogate: one row an entity; surrogates are distinct, and none is an entity."""
+    """type, form, surrogate: one row an entity; surrogates are distinct, and none is an entity. Each turn draws
+    again for those that failed. It ends whatever the table: past the first turns the space that a surrogate is
+    drawn from grows by a factor of 6 at least with each turn (a part of a family name, a digit or a letter more),
+    while those that fail get fewer, so that soon fewer than one in expectation is left."""
     forms = ws.keep(found.select("type", "form").distinct(), "forms")
     # Few bytes but much to compute: dealt over as many tasks as a shuffle has, whatever the size.
     tasks = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -188,7 +226,7 @@ def entity_table(found: DataFrame, key: str, ws: Workspace) -> DataFrame:
 def _rendered() -> Column:
     """The surrogate in the form of the mention: separators and case."""
     body = F.expr("substring(raw, length(head) + 1)")
-    walk = F.aggregate(F.split(body, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), lambda a, c: F.when(c.rlike(r"[\p{L}\p{N}]"), F.struct(F.concat(a.out, F.substr(F.col("surrogate"), a.k + 1, F.lit(1))).alias("out"), (a.k + 1).alias("k"))).otherwise(F.struct(F.concat(a.out, c).alias("out"), a.k.alias("k"))), lambda a: a.out)
+    walk = F.aggregate(F.split(body, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), lambda a, c: F.when(c.rlike(r"[\p{L}\p{N}]"), F.struct(F.concat(a.out, F.substr(F.col("surrogate"), a.k + 1, F.lit(1))).alias("out"), (a.k + 1).alias("k"))).otherwise(F.struct(F.concat(a.out, c).alias("out"), a.k.alias("k"))), lambda a: F.concat(a.out, F.substr(F.col("surrogate"), a.k + 1, F.lit(1 << 30))))
     separated = F.when(F.col("type").isin("phone", "card", "ssn", "iban"), walk).otherwise(F.col("surrogate"))
     cased = F.when(body.rlike(r"\p{L}") & (body == F.upper(body)), F.upper(separated)).otherwise(separated)
     # A secret may hold both cases, as ids do; each character then follows the mention's.

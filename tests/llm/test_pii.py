@@ -117,3 +117,80 @@ def test_phone_coreference_and_bounds(spark):
     assert got[1][1] == 1 and "4155552671" not in got[1][0] and got[2][1] == 1 and "5678" not in got[2][0]
     rest = ["+1234567", "123-456-7890-123", "9-123-456-7890", "a123-456-7890", "123-456-78901", "12-456-7890", "1+14155552671"]
     assert rows(spark, rest) == {k: (t, 0) for k, t in enumerate(rest)}
+
+
+def test_forms_without_upper_ends(spark):
+    digits = "0123456789abcdef" * 8
+    local, domain = "l" * 70 + "1", ".".join(["d" * 63] * 4)
+    texts = [f"key {digits} end", f"write {local}@{domain}.example.com, please", "token     =      " + "ab12" * 50, "Mr. " + "A" * 40 + "b " + "C" * 50 + "d", "Mr. John Quincy van der Adams left", "password:" + "q7" * 150_000]
+    got = rows(spark, texts)
+    for k, text in enumerate(texts):
+        new, n = got[k]
+        assert n == 1 and new != text
+        if k not in (3, 4):
+            assert len(new) == len(text) and re.sub("[0-9]", "0", re.sub("[a-z]", "a", new)) == re.sub("[0-9]", "0", re.sub("[a-z]", "a", text))
+    assert not set("ABCD") & set(re.findall("[A-D]{5}", got[3][0])) and "Adams" not in got[4][0] and "Quincy" not in got[4][0] and got[4][0].endswith(" left")
+    assert len(got[4][0].split()) == 7
+    two = rows(spark, [f"a {local}@{domain}x.com", f"a {local}@{domain}y.com"])
+    assert two[0][0] != two[1][0]
+
+
+def test_national_phones_and_coreference(spark):
+    texts = ["ring 0171 2345678 = +49 171 2345678 now", "01 23 45 67 89", "01.23.45.67.89.", "(030) 1234567", "020 7946 0958", "030/1234567", "212-555-0101"]
+    got = rows(spark, texts)
+    assert [n for _, n in got.values()] == [2, 1, 1, 1, 1, 1, 1]
+    for k, text in enumerate(texts):
+        assert re.sub(r"\d", "0", got[k][0]) == re.sub(r"\d", "0", text) and got[k][0] != text
+    a, b = re.fullmatch(r"ring 0(\d{3} \d{7}) = \+49 (\d{3} \d{7}) now", got[0][0]).groups()
+    assert a == b and (got[1][0].replace(" ", "") == got[2][0].replace(".", ""))
+    rest = ["0.1234567", "00 11 22 33 44", "version 01.02.03", "0-12-34", "10 20 30 40 50", "01 02 03 04 05 06x", "2001-02-03 04:05"]
+    assert rows(spark, rest) == {k: (t, 0) for k, t in enumerate(rest)}
+
+
+def test_scripts(spark):
+    got = rows(spark, ["Mr. Παπαδόπουλος", "Mrs Սարգսյան Մարիամ", "г-жа Иванова Анна", "Mr. Ⴀⴁⴂ"])
+    assert re.fullmatch(r"Mr\. [\u0370-\u03ff\u1f00-\u1fff-]+", got[0][0]) and re.fullmatch(r"Mrs [\u0530-\u058f]+ [\u0530-\u058f-]+", got[1][0])
+    assert re.fullmatch(r"г-жа [А-Яа-яё]+ [А-Яа-яё-]+", got[2][0]) and got[0][0] != "Mr. Παπαδόπουλος"
+
+
+def test_more_entities_than_surrogates_of_their_form(spark):
+    """All one-letter addresses of a domain, and three thousand of the 64 first surnames of a script: the draws end."""
+    forms = [("email", f"{c}@b.com") for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + [("name", f"f cyrillic {'абвгдежзик'[k % 10]}{k}") for k in range(3000)] + [("phone", f"{k:03d}") for k in range(1000)] + [("ssn", f"{k}") for k in range(10)]
+    table = pii.entity_table(spark.createDataFrame(forms, "type string, form string"), "k", Workspace(spark, "t")).collect()
+    assert len(table) == len(forms) == len({(r.type, r.surrogate.lower()) for r in table})
+    assert not {(r.type, r.surrogate) for r in table} & set(forms)
+    assert all(re.fullmatch(r"[a-z0-9]+@[a-z0-9]\.com", r.surrogate) for r in table if r.type == "email")
+    assert all(r.surrogate.isdigit() for r in table if r.type == "phone")
+
+
+def plain_surrogates(text):
+    """What is found in a text, by Python's engine and a list of types tried one after another at each place."""
+    import regex
+
+    forms = [(name, regex.compile(re.sub(r"\\k<(\w+)>", r"(?P=\1)", form))) for name, form in pii.TYPES.items()]
+    at, found = 0, []
+    while at < len(text):
+        for name, form in forms:
+            m = form.match(text, at)
+            if m and m.end() > at:
+                found.append((name, m[0]))
+                at = m.end()
+                break
+        else:
+            at += 1
+    return found
+
+
+def test_found_as_by_a_plain_search(spark):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + TEXTS + NUMBERS
+    got = rows(spark, docs)
+    for k, text in enumerate(docs):
+        found = plain_surrogates(text or "")
+        assert (got[k][1], k) == (len(found), k)
+        # What lies between the entities stays, in its order.
+        new, rest = got[k][0], text
+        for _, raw in found:
+            before, rest = rest.split(raw, 1)
+            assert before in new
+            new = new[new.index(before) + len(before) :]
+        assert not found or new.endswith(rest)
