@@ -6,6 +6,7 @@ other kinds and no blank line; several in one place are tried from the longest.
 letter or digit becomes one space, and what comment signs (and the words rem and dnl) begin a line are left out.
 Sentences of a table of known ones get its identifiers; the sequence of identifiers of a text is matched against
 rules in their order, longer ones first.
+Identifier lines (SPDX) are sentences too, one for each identifier that their expression holds.
 A rule is a sequence of identifiers that must follow each other with no other known sentence between; what it
 matches is used up, so that a licence whose sentences begin like another's isn't reported twice.
 
@@ -23,6 +24,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Licences named by identifier lines, and the names of those of Creative Commons.
+SPDX = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0 GPL-2.0+ GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0+ GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-2.0 OFL-1.1 Unlicense WTFPL Zlib".split()
+CREATIVE_COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
 # Sentences of well-known licences and notices, by identifier.
 SENTENCES = {
     "mit-title": ["The MIT License", "MIT License", "The MIT License (MIT)"],
@@ -50,9 +55,31 @@ SENTENCES = {
     "bsd-names": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "bsd-notice": ["Licensed under the BSD License", "Released under the BSD License", "Licensed under the BSD 3-Clause License"],
     "mpl-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v", "Licensed under the Mozilla Public License, version 2.0"],
+    "mpl-title": ["Mozilla Public License Version 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License 2.0"],
+    "gpl-title": ["GNU General Public License"],
+    "lgpl-title": ["GNU Lesser General Public License"],
+    "agpl-title": ["GNU Affero General Public License"],
+    "gnu-2": ["Version 2, June 1991"],
+    "gnu-2.1": ["Version 2.1, February 1999"],
+    "gnu-3": ["Version 3, 29 June 2007"],
+    "agpl-3": ["Version 3, 19 November 2007"],
+    "lgpl3-or-later": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "lgpl2-or-later": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "agpl-or-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "bsd-as-is": ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"],
+    "isc-as-is": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "boost-title": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "boost-notice": ["Distributed under the Boost Software License, Version 1.0"],
+    "epl-title": ["Eclipse Public License - v 2.0", "Eclipse Public License - v 1.0"],
+    "epl-notice": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"],
+    "wtfpl": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"],
     "unlicense": ["This is free and unencumbered software released into the public domain"],
     "cc0-notice": ["Licensed under CC0 1.0", "Released under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work"],
     **{f"cc-{kind.lower()}-notice": [f"Licensed under CC {kind} {v}" for v in ("2.0", "3.0", "4.0")] + [f"This work is licensed under CC {kind} 4.0"] for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+    **{f"cc-{kind.lower()}-name": [f"This work is licensed under a Creative Commons {name} {v} International License" for v in ("4.0",)] + [f"Creative Commons {name} 4.0 International"] for kind, name in CREATIVE_COMMONS.items()},
+    **{f"spdx-{name.lower()}": [f"SPDX License Identifier {name}"] for name in SPDX},
 }
 
 #: Licence and identifiers, longer rules first.
@@ -65,6 +92,15 @@ RULES = [
     ("GPL-3.0-or-later", ["gpl3-or-later", "gpl-warranty"]),
     ("GPL-2.0-or-later", ["gpl2-or-later", "gpl-warranty"]),
     ("MIT", ["mit-grant", "mit-condition"]),
+    ("LGPL-3.0-or-later", ["lgpl3-or-later"]),
+    ("LGPL-2.1-or-later", ["lgpl2-or-later"]),
+    ("AGPL-3.0-or-later", ["agpl-or-later"]),
+    ("GPL-3.0", ["gpl-title", "gnu-3"]),
+    ("GPL-2.0", ["gpl-title", "gnu-2"]),
+    ("LGPL-3.0", ["lgpl-title", "gnu-3"]),
+    ("LGPL-2.1", ["lgpl-title", "gnu-2.1"]),
+    ("AGPL-3.0", ["agpl-title", "agpl-3"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
     ("ISC", ["isc-grant"]),
     ("Apache-2.0", ["apache-notice"]),
     ("Apache-2.0", ["apache-title"]),
@@ -78,12 +114,21 @@ RULES = [
     ("BSD", ["bsd-notice"]),
     ("MIT", ["mit-notice"]),
     ("MIT", ["mit-title"]),
+    ("MPL-2.0", ["mpl-title"]),
+    ("EPL", ["epl-title"]),
+    ("EPL", ["epl-notice"]),
+    ("BSL-1.0", ["boost-title"]),
+    ("BSL-1.0", ["boost-notice"]),
+    ("WTFPL", ["wtfpl"]),
     ("Unlicense", ["unlicense"]),
     ("CC0-1.0", ["cc0-notice"]),
+    *[(name, [f"spdx-{name.lower()}"]) for name in SPDX],
+    *[(f"CC-{kind}", [f"cc-{kind.lower()}-name"]) for kind in CREATIVE_COMMONS],
     *[(f"CC-{kind}", [f"cc-{kind.lower()}-notice"]) for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")],
 ]
 
-ANCHORS = "licen|permission|copyright|redistribution|software|warrant|except in compliance|cc0"
+ANCHORS = "licen|permission|copyright|redistribution|software|warrant|except in compliance|cc0|creative commons|version [23]"
+TAG = "spdx-license-identifier:"
 BREAK = r"\n|(?<=[.:;])\s+"
 #: What begins a line and doesn't count: signs, and the words that begin comments in batch files and m4.
 PREFIX = r"(^|\n)[^\p{L}\p{N}\n]*+(?:(?:rem|dnl)(?=\s)[^\p{L}\p{N}\n]*+)?"
@@ -95,8 +140,12 @@ def normal(sentence: str) -> str:
 
 
 def _normal(c: Column) -> Column:
-    """Lower case; left are letters, digits, single spaces, single line ends, and [.:;] for the other bounds."""
-    c = F.regexp_replace(F.lower(c), PREFIX, "$1")
+    """Lower case; left are letters, digits, single spaces, single line ends, and [.:;] for the other bounds. An
+    identifier line is a sentence for each identifier of its expression."""
+    c = F.lower(c)
+    parts = F.transform(F.split(c, "\n"), lambda x: F.when(x.contains(TAG), F.regexp_replace(F.regexp_replace(x, r"\s(?:or|and|with)\s|[()]", f"; {TAG} "), TAG + r"\s*", TAG.replace(":", " "))).otherwise(x))
+    c = F.when(c.contains(TAG), F.array_join(parts, "\n")).otherwise(c)
+    c = F.regexp_replace(c, PREFIX, "$1")
     c = F.regexp_replace(F.regexp_replace(c, r"[.:;](?!\s)", " "), r"[^\p{L}\p{N}\n.:;]+", " ")
     return F.regexp_replace(c, r"\n[ \n]*\n", ".")
 

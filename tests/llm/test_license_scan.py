@@ -107,3 +107,87 @@ def test_lines_blank_lines_and_long_runs(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: (r.n_known, r.licences) for r in ls.scan(df).collect()}
     assert got == {i: (n, x) for i, (_, n, x) in enumerate(texts)}
+
+
+def test_identifier_lines(spark):
+    texts = [
+        ("// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+        ("/* spdx-license-identifier:   Apache-2.0 */", "Apache-2.0"),
+        ("# SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause) AND CC0-1.0", "BSD-3-Clause,CC0-1.0,GPL-2.0-only"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0\r\nSPDX-License-Identifier: ISC", "GPL-2.0-or-later,ISC"),
+        ("SPDX-License-Identifier: NoSuch-1.0", ""),
+        ("mit software license spdx mit", ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in ls.scan(df).collect()}
+    assert {i: ",".join(sorted(filter(None, x.split(",")))) for i, x in got.items()} == {i: x for i, (_, x) in enumerate(texts)}
+
+
+#: Written out here, not taken from the operator's table.
+FULL = {
+    "MIT": """MIT License
+
+Copyright (c) 2021 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "BSD-3-Clause": """Copyright 2020 A. Person
+
+Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors
+may be used to endorse or promote products derived from this software without
+specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.""",
+    "GPL-3.0-or-later": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.""",
+    "GPL-3.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc.""",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE\n\nVersion 2.1, February 1999\n",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:""",
+    "CC-BY-SA": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational License.",
+}
+
+
+def test_texts_as_they_are_published(spark):
+    df = spark.createDataFrame([(k, t) for k, t in FULL.items()] + [("padded", "Released   under" + " " * 5000 + "the \t MIT" + " " * 900 + "License.")], "doc_id string, text string")
+    got = {r.doc_id: r.licences for r in ls.scan(df).collect()}
+    assert got == {**{k: k for k in FULL}, "padded": "MIT"}
