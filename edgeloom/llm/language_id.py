@@ -3,17 +3,22 @@
 Each language has a probability for each piece of a fixed public vocabulary. The probability of a word (a run
 of letters in lower case, with a space before it) is the sum over all its segmentations into pieces of the
 products of their probabilities, which the forward algorithm computes; a text's is the product over its words.
-The piece probabilities are fitted by expectation maximisation, with forward and backward sums, on the words of
-``SAMPLE_DOCS`` documents a language (about, chosen by a hash of the id) and the ``SAMPLE_WORDS`` commonest of
-those; these are the bounds of the sample. All texts are predicted whole.
+The piece probabilities are fitted by expectation maximisation, with forward and backward sums, on all words of
+``SAMPLE_DOCS`` documents a language (about, chosen by a hash of the id), which is the bound of the sample. All
+texts are predicted whole.
+
+Long words are first cut where no piece of the vocabulary crosses: every segmentation has a bound there, so the
+sum over the whole is the product of the sums over the parts. Parts of up to ``TOGETHER`` bytes go through the
+lattice many at a time; longer ones, such as a letter repeated, one at a time with scaled numbers.
 
 Only documents whose crc32 of the id as text leaves a remainder other than 1 by 3, with text and language, are
 learnt from. A prediction uses the text alone: the language of the highest probability, the first by name of
 several, and as score its share in the sum over languages, each equally likely beforehand.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0, as is every text if there is
-nothing to learn from; runs of letters beyond ``MAX_BYTES`` bytes are scored in parts; a null id is not held
-out; repeated rows give repeated rows; an empty table gives an empty table; other columns are not read.
+nothing to learn from; runs of letters of any length are scored whole; a null id is not held out; repeated rows
+give repeated rows; an empty table gives an empty table; other columns are not read. The model, a number for each
+piece and language, is sent to all executors, so more than ``MOST_LANGS`` languages raise.
 """
 
 from __future__ import annotations
@@ -27,17 +32,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 1500
-SAMPLE_WORDS = 30_000
+MOST_LANGS = 512
 ROUNDS = 4
 SMOOTHING = 0.05
-MAX_PIECE = 10
-MAX_BYTES = 60
+TOGETHER = 40
 CACHE = 300_000
+CACHED_BYTES = 256
 TABLE_BITS = 21
 
 _LETTERS = regex.compile(r"\p{L}+")
@@ -49,7 +54,7 @@ _SLOT = np.uint64(0xD6E8FEB86659FD93)
 def vocabulary(rank_file: str) -> "Pieces":
     with open(rank_file, "rb") as lines:
         tokens = [base64.b64decode(line.split()[0]) for line in lines]
-    return Pieces([t for t in tokens if len(t) == 1 or len(t) <= MAX_PIECE and _wordlike(t)])
+    return Pieces([t for t in tokens if len(t) == 1 or _wordlike(t)])
 
 
 def _wordlike(token: bytes) -> bool:
@@ -76,7 +81,8 @@ class Pieces:
         self.table[slot] = np.arange(len(pieces))
         used, times = np.unique(slot, return_counts=True)
         self.table[used[times > 1]] = -2
-        self.powers = np.array([pow(int(_BASE), k, 1 << 64) for k in range(MAX_PIECE + 1)], np.uint64)
+        self.longest = max(map(len, pieces))
+        self.powers = np.array([pow(int(_BASE), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
@@ -91,6 +97,75 @@ class Pieces:
             found[shared] = np.where(self.sorted[at] == h[shared], self.order[at], -1)
         return np.where((found >= 0) & (self.hash[np.maximum(found, 0)] == h), found, self.count).astype(np.int32)
 
+    def all_in(self, word: bytes) -> np.ndarray:
+        """numbers[e][k]: the piece that ends after byte e with k + 1 bytes, or ``count``."""
+        length = len(word)
+        letters = np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1)
+        out = np.full((length, min(self.longest, length)), self.count, np.int32)
+        h = np.zeros(length, np.uint64)
+        for k in range(out.shape[1]):
+            # The hash of the k + 1 bytes up to each place is that of the k bytes up to it and one byte before them.
+            h = h[1:] + letters[: length - k] * self.powers[k] if k else letters
+            out[k:, k] = self.numbers(h)
+        return out
+
+
+def parts_of(pieces: Pieces, word: bytes) -> list[bytes]:
+    """The word, cut wherever no piece crosses."""
+    if len(word) <= TOGETHER:
+        return [word]
+    found = pieces.all_in(word) < pieces.count
+    crossed = np.zeros(len(word) + 1, np.int64)
+    for k in range(1, found.shape[1]):
+        # A piece of k + 1 bytes that ends after byte e crosses the k places before that byte.
+        ends = np.nonzero(found[:, k])[0]
+        np.add.at(crossed, ends - k + 1, 1)
+        np.add.at(crossed, ends + 1, -1)
+    cuts = np.nonzero(np.cumsum(crossed)[1:-1] == 0)[0] + 1
+    # Parts that together stay short needn't be cut.
+    out, start = [], 0
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(word)]):
+        if hi - start > TOGETHER and lo > start:
+            out.append(word[start:lo])
+            start = lo
+    return [*out, word[start:]]
+
+
+def log_forward(numbers: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """numbers: length x sizes, as of ``all_in``. Logs of the forward sums at all places, places x languages; they are
+    scaled on the way, so that words of any length have them."""
+    length, sizes = numbers.shape
+    out = np.zeros((length + 1, p.shape[1]))
+    window, scale = np.zeros((sizes, p.shape[1])), np.zeros(p.shape[1])
+    window[0] = 1
+    for e in range(length):
+        now = (window * p[numbers[e]]).sum(axis=0)
+        window[1:] = window[:-1]
+        window[0] = now
+        if e % 8 == 7 or (now < 1e-200).any():
+            most = np.maximum(window.max(axis=0), 1e-300)
+            window /= most
+            scale += np.log(most)
+            now = window[0]
+        out[e + 1] = np.log(np.maximum(now, 1e-300)) + scale
+    return out
+
+
+def log_expected(numbers: np.ndarray, p: np.ndarray, weights: np.ndarray, out: np.ndarray) -> None:
+    """Adds to ``out`` how often each piece is used over all segmentations of one word."""
+    length, sizes = numbers.shape
+    ahead = log_forward(numbers, p)
+    turned = np.full_like(numbers, len(p) - 1)
+    for k in range(sizes):
+        turned[k:, k] = numbers[k:, k][::-1]
+    behind = log_forward(turned, p)[::-1]
+    for k in range(sizes):
+        n = numbers[k:, k]
+        share = np.exp(np.minimum(ahead[: length - k] + behind[k + 1 :] - ahead[length], 700.0)) * p[n] * weights
+        for lang in range(p.shape[1]):
+            out[:, lang] += np.bincount(n, share[:, lang], len(p))
+    out[-1] = 0
+
 
 class Lattice:
     """The pieces of words of one length: numbers[e][k] are those that end at byte e with k + 1 bytes."""
@@ -102,7 +177,7 @@ class Lattice:
         prefix = np.zeros((length + 1, len(words)), np.uint64)
         for e in range(length):
             prefix[e + 1] = prefix[e] * _BASE + letters[:, e]
-        self.numbers = [[pieces.numbers(prefix[e] - prefix[e - k] * pieces.powers[k]) for k in range(1, min(MAX_PIECE, e) + 1)] for e in range(1, length + 1)]
+        self.numbers = [[pieces.numbers(prefix[e] - prefix[e - k] * pieces.powers[k]) for k in range(1, min(pieces.longest, e) + 1)] for e in range(1, length + 1)]
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """p: pieces x languages with a last row of zeros. Returns places x words x languages."""
@@ -131,12 +206,8 @@ class Lattice:
 
 
 def runs(token: bytes) -> list[bytes]:
-    """The words in a stretch of text, each with a space before it, in parts of ``MAX_BYTES``."""
-    out = []
-    for run in _LETTERS.findall(token.decode("utf-8", "replace").lower()):
-        raw = b" " + run.encode()
-        out += [raw[k : k + MAX_BYTES] for k in range(0, len(raw), MAX_BYTES)]
-    return out
+    """The words in a stretch of text, each with a space before it."""
+    return [b" " + run.encode() for run in _LETTERS.findall(token.decode("utf-8", "replace").lower())]
 
 
 def _by_length(words: list[bytes], at_once: int = 8192) -> Iterator[list[int]]:
@@ -152,11 +223,17 @@ def fit(pieces: Pieces, words: list[bytes], counts: np.ndarray, rounds: int = RO
     """counts: words x languages. Returns the piece probabilities, pieces x languages with a row of zeros."""
     p = np.full((pieces.count + 1, counts.shape[1]), 1.0 / pieces.count)
     p[-1] = 0
-    lattices = [(Lattice(pieces, [words[k] for k in ks]), counts[ks]) for ks in _by_length(words)]
+    cut = [(part, k) for k, word in enumerate(words) for part in parts_of(pieces, word)]
+    short = [(part, k) for part, k in cut if len(part) <= TOGETHER]
+    long = [(pieces.all_in(part), counts[k]) for part, k in cut if len(part) > TOGETHER]
+    of = np.array([k for _, k in short], np.int64)
+    lattices = [(Lattice(pieces, [short[k][0] for k in ks]), counts[of[ks]]) for ks in _by_length([part for part, _ in short])]
     for _ in range(rounds):
         used = np.zeros_like(p)
         for lattice, weights in lattices:
             used += lattice.expected(p, weights)
+        for numbers, weights in long:
+            log_expected(numbers, p, weights, used)
         used[:-1] += SMOOTHING
         p = used / used.sum(axis=0)
     return p
@@ -174,17 +251,27 @@ class Scorer:
         self.logs = np.zeros((max(room, CACHE), self.p.shape[1]))
 
     def _learn(self, tokens: list[bytes]) -> None:
-        found = [(k, r) for k, t in enumerate(tokens) for r in runs(t)]
         start = len(self.known)
-        logs = self.logs[start : start + len(tokens)]
-        logs[:] = 0
-        for ks in _by_length([r for _, r in found]):
-            ends = np.log(np.maximum(Lattice(self.pieces, [found[k][1] for k in ks]).forward(self.p)[-1], 1e-300))
-            np.add.at(logs, np.array([found[k][0] for k in ks]), ends)
+        self.logs[start : start + len(tokens)] = self._scored(tokens)
         self.known.update(zip(tokens, range(start, start + len(tokens)), strict=True))
 
+    def _scored(self, tokens: list[bytes]) -> np.ndarray:
+        logs = np.zeros((len(tokens), self.p.shape[1]))
+        found = [(k, part) for k, t in enumerate(tokens) for r in runs(t) for part in parts_of(self.pieces, r)]
+        short = [x for x in found if len(x[1]) <= TOGETHER]
+        for ks in _by_length([part for _, part in short]):
+            ends = np.log(np.maximum(Lattice(self.pieces, [short[k][1] for k in ks]).forward(self.p)[-1], 1e-300))
+            np.add.at(logs, np.array([short[k][0] for k in ks]), ends)
+        for k, part in found:
+            if len(part) > TOGETHER:
+                logs[k] += log_forward(self.pieces.all_in(part), self.p)[-1]
+        return logs
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         split = [t.split() for t in texts]
+        # Long stretches aren't remembered, so that what is remembered stays small.
+        long = [[x for x in tokens if len(x) > CACHED_BYTES] for tokens in split]
+        split = [[x for x in tokens if len(x) <= CACHED_BYTES] if some else tokens for tokens, some in zip(split, long)]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > len(self.logs):
             new = set().union(*split)
@@ -196,6 +283,8 @@ class Scorer:
         for k, tokens in enumerate(split):
             if tokens:
                 out[k] = self.logs[np.fromiter(map(get, tokens), np.int64, len(tokens))].sum(axis=0)
+            for token in long[k]:
+                out[k] += self._scored([token])[0]
         return out
 
 
@@ -221,6 +310,8 @@ def train(df: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str =
     sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return [], np.zeros((0, 0))
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"{len(sizes)} languages; there may be {MOST_LANGS}")
     share = F.lit(0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(-(-1_000_000 * sample_docs // n))).otherwise(share)
@@ -238,9 +329,8 @@ def train(df: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str =
     chosen = own.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("lang", "text")
     words = chosen.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     langs = sorted(sizes)
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     totals: dict[bytes, np.ndarray] = {}
-    for r in words.withColumn("nth", first).filter(F.col("nth") <= SAMPLE_WORDS).collect():
+    for r in words.toLocalIterator():
         totals.setdefault(bytes(r["word"]), np.zeros(len(langs)))[langs.index(r["lang"])] += r["n"]
     keys = sorted(totals)
     if not keys:

@@ -72,3 +72,72 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = lid.identify(docs, RANKS).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
+
+
+def plain_log(word, log_p, longest):
+    """The log of the sum over all segmentations, by adding logs one after another."""
+    import math
+
+    a = [0.0] + [-math.inf] * len(word)
+    for e in range(1, len(word) + 1):
+        terms = [a[s] + log_p[word[s:e]] for s in range(max(0, e - longest), e) if word[s:e] in log_p]
+        top = max(terms)
+        a[e] = top + math.log(sum(math.exp(t - top) for t in terms))
+    return a[-1]
+
+
+def small_vocabulary(tmp_path):
+    import base64
+
+    own = [" th", "the", " the", "le", " le", "letters", " internation", "international", "aa", "aaa", "дом", " дом", "ра", "при", "привет"]
+    pieces = [bytes([b]) for b in range(256)] + [x.encode() for x in own]
+    path = tmp_path / "ranks.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(x).decode()} {k}\n" for k, x in enumerate(pieces)))
+    return str(path), pieces
+
+
+def test_texts_against_plain_sums(spark, tmp_path):
+    path, pieces = small_vocabulary(tmp_path)
+    assert max(map(len, pieces)) > 12
+    rng = np.random.default_rng(2)
+    p = rng.random((len(pieces) + 1, 3)) ** 4
+    p[-1] = 0
+    p /= p.sum(axis=0)
+    words = ["the", "letters", "international", "internationalletters", "приветдом", "дом", "a" * 200, "le" * 150, "x" * 90, "日本語" * 40, "привет" * 30, "qué"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(60)] + ["The INTERNATIONAL, letters; дом!", "a" * 3000]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r["__lang"], r["__score"]) for r in lid.predict(df, path, ["aa", "bb", "cc"], p).collect()}
+    import regex
+
+    for k, text in enumerate(texts):
+        logs = np.array([sum(plain_log(b" " + w.encode(), {x: np.log(p[n, lang]) for n, x in enumerate(pieces)}, 20) for w in regex.findall(r"\p{L}+", text.lower())) for lang in range(3)])
+        shares = np.exp(logs - logs.max())
+        assert got[k][0] == ["aa", "bb", "cc"][int(logs.argmax())] and abs(got[k][1] - shares.max() / shares.sum()) < 1e-6
+
+
+def test_cuts_and_long_parts_change_no_sum(tmp_path):
+    path, pieces = small_vocabulary(tmp_path)
+    index = lid.vocabulary(path)
+    rng = np.random.default_rng(3)
+    p = rng.random((index.count + 1, 2))
+    p[-1] = 0
+    p /= p.sum(axis=0)
+    for word in (b" " + b"letters" * 30, b" " + b"a" * 300, "дом привет".encode() * 20):
+        assert b"".join(lid.parts_of(index, word)) == word
+        whole = lid.log_forward(index.all_in(word), p)[-1]
+        parts = sum(lid.log_forward(index.all_in(x), p)[-1] for x in lid.parts_of(index, word))
+        assert np.allclose(whole, parts) and np.isfinite(whole).all()
+    word = b" theletters" * 3
+    want = lid.Lattice(index, [word]).expected(p, np.array([[2.0, 3.0]]))
+    got = np.zeros_like(p)
+    lid.log_expected(index.all_in(word), p, np.array([2.0, 3.0]), got)
+    assert np.allclose(got, want)
+
+
+def test_longest_pieces_of_the_public_vocabulary_are_used():
+    index = lid.vocabulary(RANKS)
+    assert index.longest > 12
+    words = [b" internationale", b" a"]
+    p = lid.fit(index, words * 2, np.ones((4, 1)))
+    longest = max(len(x) for x in words)
+    assert index.all_in(words[0]).shape == (longest, min(longest, index.longest)) and np.allclose(p.sum(axis=0), 1)
