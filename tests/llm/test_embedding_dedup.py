@@ -3,6 +3,9 @@ import pytest
 
 from edgeloom.llm import embedding_dedup as ed
 
+#: Least recall by number of cells.
+RECALL = {24: 0.999, 1024: 0.99, 4096: 0.99, 1 << 20: 0.99}
+
 
 def by_hand(rows, threshold=0.9):
     """rows: (id, vector). Returns (id, n_links, component) per row."""
@@ -52,15 +55,35 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert ed.embedding_dedup(df.limit(0)).count() == 0
 
 
-def test_recall_of_pairs_at_the_threshold():
+@pytest.mark.parametrize("most", [1024, 4])
+def test_exact_against_brute_force(spark, monkeypatch, most):
+    """Random vectors without clusters, in cells of one and of several levels."""
+    monkeypatch.setattr(ed, "BLOCK", 64)
+    monkeypatch.setattr(ed, "PER_CELL", 12)
+    monkeypatch.setattr(ed, "LEVEL", most)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(250, 6))
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([base, base + 0.12 * rng.normal(size=base.shape), base[:20]]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = by_hand(rows)
+    got = ed.embedding_dedup(df, exact=True).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == want
+
+
+@pytest.mark.parametrize("cells", [24, 1024, 4096, 1 << 20])
+def test_recall_of_pairs_at_the_threshold(cells):
+    """Random vectors, the hardest there are, in 64 dimensions, with pairs at exactly 0.9."""
     rng = np.random.default_rng(0)
-    x = ed.unit(rng.normal(size=(3000, 64)))
+    x = ed.unit(rng.normal(size=(1000, 64)))
     w = rng.normal(size=x.shape)
     w = ed.unit(w - (w * x).sum(axis=1, keepdims=True) * x)
     y = 0.9 * x + np.sqrt(1 - 0.81) * w
-    centres = ed.spherical_kmeans(np.concatenate([x, y]), 24)
-    a, b = (ed.nearest(v, centres, ed.PROBES)[0] for v in (x, y))
-    assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist())]) > 0.995
+    levels = ed.levels_of(rng.normal(size=(ed.SAMPLE, 64)), cells)
+    assert np.prod([len(c) for c in levels]) >= cells and max(map(len, levels)) <= ed.LEVEL
+    a, b = (np.concatenate([ed.cells_of(v[k : k + 250], levels) for k in range(0, len(v), 100)]) for v in (x, y))
+    recall = np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist())])
+    print(cells, recall)
+    assert recall > RECALL[cells]
 
 
 def test_testdata(spark):
