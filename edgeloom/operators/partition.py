@@ -35,6 +35,7 @@ def grow_clusters(a: DataFrame, nodes: int, budget: int, clusters: int, threshol
     degree = cut(degrees(a))
     edges = cut(edge_density(a, nodes).filter(F.col("weight") > threshold).select("i", "k", "weight"))
     taken = cut(degree.select("node", F.lit(None).cast("int").alias("cluster")).limit(0))
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for cluster in range(clusters):
         frontier, spent = cut(next_seed(degree, taken)), 0
         if frontier.isEmpty():
@@ -42,12 +43,15 @@ def grow_clusters(a: DataFrame, nodes: int, budget: int, clusters: int, threshol
         while True:
             # A union has the parts of both; without a bound they would grow with the levels.
             both = taken.unionByName(frontier.select("node", F.lit(cluster).alias("cluster")))
-            taken = cut(both.coalesce(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-            hop = cut(bfs_hop(edges, frontier, degree, budget, threshold, spent))
-            spent += hop.filter("expanded").join(degree, "node").agg(F.sum("degree")).first()[0] or 0
-            frontier = cut(hop.filter("not expanded").select("node").join(taken, "node", "left_anti"))
-            if spent >= budget or frontier.isEmpty():
+            taken = cut(both.coalesce(parts))
+            hop = bfs_hop(edges, frontier, degree, budget, threshold, spent)
+            found = hop.filter("not expanded").join(taken, "node", "left_anti").withColumn("degree", F.lit(None).cast("long"))
+            hop = cut(hop.filter("expanded").join(degree, "node").unionByName(found))
+            told = hop.agg(F.sum("degree").alias("spent"), F.count_if(~F.col("expanded")).alias("found")).first()
+            spent += told["spent"] or 0
+            if spent >= budget or not told["found"]:
                 break
+            frontier = hop.filter("not expanded").select("node")
     return degree.select("node").join(taken, "node", "left")
 
 
