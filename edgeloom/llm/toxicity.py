@@ -17,9 +17,7 @@ not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,16 +58,18 @@ def feature_number(feature: str) -> int:
 class Known(dict):
     """Numbers of the features of stretches; forgotten when too many, and not kept of long stretches."""
 
-    def __missing__(self, token: bytes) -> tuple[int, ...]:
-        found = tuple({feature_number(f) for f in features_of(token)})
+    def __missing__(self, token: bytes) -> np.ndarray:
+        found = np.array([feature_number(f) for f in features_of(token)], np.int32)
         if len(token) <= CACHED_BYTES:
             if len(self) >= CACHE:
                 self.clear()
             self[token] = found
         return found
 
-    def of(self, text: bytes) -> set[int]:
-        return set(chain.from_iterable(map(self.__getitem__, set(text.split()))))
+    def of(self, text: bytes) -> np.ndarray:
+        """Each feature once, in order."""
+        found = [self[token] for token in set(text.split())]
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -134,7 +134,7 @@ def _held(df: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                held = [sorted(known.of(t or b"")) for t in pc.cast(part.column(1), pa.binary()).to_pylist()]
+                held = [known.of(t or b"") for t in pc.cast(part.column(1), pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_pydict({"grade": part.column(0), "held": pa.array(held, pa.list_(pa.int32()))})
 
     return df.select("grade", "text").mapInArrow(run, "grade int, held array<int>")
@@ -168,12 +168,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, thresholds = model.value
-        known, heavy = Known(), w.tolist()
+        known = Known()
         for batch in batches:
             score = np.zeros(batch.num_rows)
             for at in range(0, batch.num_rows, 256):
                 for k, text in enumerate(pc.cast(batch.column(1).slice(at, 256), pa.binary()).to_pylist()):
-                    score[at + k] = math.fsum(map(heavy.__getitem__, known.of(text or b"")))
+                    score[at + k] = w[known.of(text or b"")].sum()
             shares = grade_shares(score, thresholds)
             severity = shares @ np.arange(shares.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity), pa.array(shares.argmax(axis=1), pa.int64()), pa.array(severity >= LEAST_SEVERITY)], names=["doc_id", "severity", "grade", "toxic"])
