@@ -21,7 +21,7 @@ from .partition import THRESHOLD, clusters_of
 from .structure import relabel
 
 BROADCAST_BYTES = 64 << 20
-TILE = 256
+TILE = 1024
 HOT_PRODUCTS = 1 << 22
 SALTS = 32
 WIDEST = 1024
@@ -84,7 +84,7 @@ def wide(a: DataFrame, x: DataFrame) -> DataFrame:
 def blocked(a: DataFrame, x: DataFrame, tile: int = TILE) -> DataFrame:
     """Tiles of ``tile`` keys and rows: each pair of tiles that meet is multiplied as small matrices, and the
     partial results are summed. A task holds a tile of A and the cells of X for its keys that one tile of columns
-    has, whatever the size of the whole."""
+    has, whatever the size of the whole. Numbers must be finite, as the zeros of a tile are multiplied, too."""
     whole = _whole(a, x)
     kind = "bigint" if whole else "double"
     left = a.select(F.floor(F.col("k") / tile).alias("b"), F.floor(F.col("i") / tile).alias("bi"), "i", "k", F.col("v").cast(kind).alias("v"))
@@ -97,7 +97,7 @@ def blocked(a: DataFrame, x: DataFrame, tile: int = TILE) -> DataFrame:
     left = left.join(pairs, (F.col("b") == F.col("tb")) & (F.col("bi") == F.col("ti"))).select("tb", "ti", "tj", "i", "k", "v")
     right = right.join(again, (F.col("rb") == F.col("ub")) & (F.col("rj") == F.col("uj"))).select("ub", "ui", "uj", "j", F.col("rk"), "w")
 
-    def product(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
+    def multiplied(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
         if l.empty or r.empty:
             return pd.DataFrame({"i": [], "j": [], "val": []}).astype({"i": "int64", "j": "int64"})
         ks = np.intersect1d(l["k"], r["rk"])
@@ -111,9 +111,12 @@ def blocked(a: DataFrame, x: DataFrame, tile: int = TILE) -> DataFrame:
         np.add.at(n, (rk, cj), r["w"].to_numpy())
         hit_m[ri, lk] = hit_n[rk, cj] = 1
         p, q = np.nonzero(hit_m @ hit_n)
-        return pd.DataFrame({"i": i[p], "j": j[q], "val": (m @ n)[p, q]})
+        # Whole numbers are multiplied much faster as doubles, and exactly as long as no sum can pass 2^53.
+        reach = [max(-int(c.min(initial=0)), int(c.max(initial=0))) if whole else 0 for c in (m, n)]
+        product = m @ n if len(ks) * reach[0] * reach[1] >= 1 << 53 else m.astype(np.float64) @ n.astype(np.float64)
+        return pd.DataFrame({"i": i[p], "j": j[q], "val": product[p, q].astype(number)})
 
-    parts = left.groupBy("tb", "ti", "tj").cogroup(right.groupBy("ub", "ui", "uj")).applyInPandas(product, f"i long, j long, val {kind}")
+    parts = left.groupBy("tb", "ti", "tj").cogroup(right.groupBy("ub", "ui", "uj")).applyInPandas(multiplied, f"i long, j long, val {kind}")
     return parts.groupBy("i", "j").agg(F.sum("val").cast(kind).alias("val"))
 
 

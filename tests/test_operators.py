@@ -66,6 +66,13 @@ def test_strategies_agree(spark, monkeypatch, strategy, whole):
     assert all(got[c] == pytest.approx(want[c]) for c in want)
 
 
+def test_tiles_multiply_large_whole_numbers_exactly(spark):
+    a = [(i, k, 2**31 + 7 * i + k) for i in range(3) for k in range(2)] + [(5, 9, -3)]
+    x = [(k, j, (-1) ** k * (2**29 + 3 * k + j)) for k in range(2) for j in range(3)] + [(9, 1, 2**60)]
+    da, dx = spark.createDataFrame(a, "i long, k long, v long"), spark.createDataFrame(x, "k long, j long, w long")
+    assert table(multiply.blocked(da, dx, tile=4), "i", "j", "val") == plain_product(a, x)
+
+
 def test_broadcast_is_checked(spark):
     a, x = cells(spark, PATH), feats(spark, [[1.0]] * 3)
     assert estimated_bytes(x) > 1
