@@ -53,7 +53,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = minhash.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     once = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
     (nth,) = free_names(docs, "nth")
-    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.xxhash64("text", F.lit(1))).orderBy(F.lit(0)))
+    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).orderBy(F.lit(0)))
     named = once.withColumn(nth, first).filter(F.col(nth) == 1).select(*docs.columns)
     return named.unionByName(docs.filter(F.col("doc_id").cast("long").isNull()))
 
