@@ -262,7 +262,8 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     rows = df.select(df[id_col].cast("long").alias("id"), vec.alias("vec"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     sound = F.col("id").isNotNull() & F.col("vec").isNotNull() & F.forall("vec", fine) & F.exists("vec", lambda x: x != 0)
-    rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64("vec", F.lit(1))})
+    # Two hashes of the vector from different seeds; one that goes on from the other would add nothing to it.
+    rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
     keys = ws.keep(rows.select("id", "sound", "h1", "h2"), "keys")
     classes = ws.keep(keys.filter("sound").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     first = classes.withColumnsRenamed({"h1": "g1", "h2": "g2"})
