@@ -32,8 +32,9 @@ def grow_clusters(a: DataFrame, nodes: int, budget: int, clusters: int, threshol
     """(node, cluster): up to ``clusters`` clusters of a symmetric graph, each from the unassigned node of the highest
     degree (the lowest number of several), grown breadth first over unassigned neighbours until ``budget`` edges
     are used up or nothing is left. Nodes that none reaches have the cluster null."""
+    a = cut(a)
     degree = cut(degrees(a))
-    edges = cut(edge_density(a, nodes).filter(F.col("weight") > threshold).select("i", "k", "weight"))
+    edges = cut(edge_density(a, nodes, degree).filter(F.col("weight") > threshold).select("i", "k", "weight"))
     taken = cut(degree.select("node", F.lit(None).cast("int").alias("cluster")).limit(0))
     parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for cluster in range(clusters):

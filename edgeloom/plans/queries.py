@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import catalogue, multiply, partition, results, runner, stats, structure, verify
 from ..sources import generators, readers, selectors, sinks
-from .lineage import new_folder, ship
+from .lineage import cut, new_folder, ship, written
 from .views import as_features, embedding_features, nation_nation, part_part, read, supplier_part, transposed_features
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,16 +396,16 @@ def multiply_memory(spark, d):
     SELECT node, TRUE AS expanded FROM expanded UNION ALL SELECT node, FALSE FROM claimed""",
 )
 def bfs_hop(spark, d):
-    pp = part_part(spark, d)
-    degree = stats.degrees(pp)
+    pp = written(part_part(spark, d), "edges")
+    degree = cut(stats.degrees(pp))
     frontier = degree.orderBy(F.desc("degree"), "node").limit(10).select("node")
-    return partition.bfs_hop(stats.edge_density(pp, read(spark, d, "part").count()), frontier, degree, 1000, 0.05)
+    return partition.bfs_hop(stats.edge_density(pp, read(spark, d, "part").count(), degree), frontier, degree, 1000, 0.05)
 
 
 @query("seed_node", f"WITH {PP}, {DEG} SELECT node FROM deg WHERE node % 3 <> 0 ORDER BY degree DESC, node LIMIT 1")
 def seed_node(spark, d):
     """Where the next cluster starts if every third node is taken."""
-    degree = stats.degrees(part_part(spark, d))
+    degree = cut(stats.degrees(part_part(spark, d)))
     return partition.next_seed(degree, degree.filter("node % 3 = 0").select("node"))
 
 
