@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +19,10 @@ from ..plans.lineage import cut, estimated_bytes
 from ..schema import ShapeError, require_multipliable
 from .partition import THRESHOLD, clusters_of
 from .structure import relabel
+from .tiles import products
 
 BROADCAST_BYTES = 64 << 20
-TILE = 1024
+TILE = 2048
 HOT_PRODUCTS = 1 << 22
 SALTS = 32
 WIDEST = 1024
@@ -152,12 +153,17 @@ def with_identity(a: DataFrame) -> DataFrame:
 
 def clustered(a: DataFrame, x: DataFrame, assignments: DataFrame) -> DataFrame:
     """Each cluster's rows times X, merged: sums within a cluster, the mean over clusters that have a cell. Nodes
-    without a cluster are a cluster of their own, so all rows of A are in the result."""
+    without a cluster are a cluster of their own, so all rows of A are in the result. A tile of the result is made in
+    one task, in a layer for a row's first cluster, one for its second and so on, and merged there."""
     whole = _whole(a, x)
-    rows = a.join(assignments.select(F.col("node").alias("i"), "cluster"), "i", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
-    kind = "bigint" if whole else "double"
-    per = rows.join(x, "k").groupBy("cluster", "i", "j").agg(F.sum(F.col("v").cast(kind) * F.col("w").cast(kind)).alias("val"))
-    return per.groupBy("i", "j").agg(F.avg("val").cast(kind).alias("val"))
+    nth = F.dense_rank().over(Window.partitionBy("i").orderBy("cluster")) - 1
+    named = assignments.select(F.col("node").alias("i"), F.coalesce("cluster", F.lit(-1)).alias("cluster")).filter("i is not null")
+    named = cut(named.select("i", nth.alias("layer")))
+    rows = a.join(named.hint("broadcast") if estimated_bytes(named) <= BROADCAST_BYTES else named, "i", "left")
+    layers = (named.agg(F.max("layer")).first()[0] or 0) + 1
+    made = products(rows, x, TILE, whole, F.coalesce("layer", F.lit(0)), layers)
+    mean = F.expr("val div layers" if whole else "val / layers")
+    return made.select(F.col("i").cast(a.schema["i"].dataType), F.col("j").cast(x.schema["j"].dataType), F.when(F.col("layers") > 0, mean).alias("val"))
 
 
 Strategy = Callable[[DataFrame, DataFrame], DataFrame]

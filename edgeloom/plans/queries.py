@@ -166,9 +166,10 @@ def method_runs(spark, d):
 
 @query("cluster_spmm_merge", AAT)
 def cluster_spmm_merge(spark, d):
-    sp = supplier_part(spark, d)
+    sp = supplier_part(spark, d, "k")
     # A third of the suppliers has no cluster and goes to the residual one.
-    assigned = _nodes(sp, "i").withColumn("cluster", F.when(F.col("node") % 3 != 0, structure.chunk(F.col("node"), 10)))
+    nodes = _nodes(read(spark, d, "lineitem"), "l_suppkey")
+    assigned = nodes.withColumn("cluster", F.when(F.col("node") % 3 != 0, structure.chunk(F.col("node"), 10)))
     return multiply.clustered(sp, transposed_features(sp), assigned)
 
 

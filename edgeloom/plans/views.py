@@ -13,10 +13,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def supplier_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers by parts, v the quantity in all lines."""
-    lines = read(spark, sf_dir, "lineitem")
-    return lines.groupBy(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("k")).agg(F.sum("l_quantity").cast("bigint").alias("v"))
+def supplier_part(spark: SparkSession, sf_dir: str, dealt: str | None = None) -> DataFrame:
+    """Suppliers by parts, v the quantity in all lines. ``dealt``: the lines are shuffled once, by i or k, for what
+    needs all cells of one together."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("k"), "l_quantity")
+    lines = lines.repartition(dealt) if dealt else lines
+    return lines.groupBy("i", "k").agg(F.sum("l_quantity").cast("bigint").alias("v"))
 
 
 def nation_nation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from edgeloom import schema
 from edgeloom.functions import scalar
-from edgeloom.operators import catalogue, multiply, partition, results, runner, stats, structure, verify
+from edgeloom.operators import catalogue, multiply, partition, results, runner, stats, structure, tiles, verify
 from edgeloom.plans.lineage import estimated_bytes
 
 PATH = [(0, 1, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 1, 1.0)]
@@ -391,3 +391,22 @@ def test_sizes_are_checked(spark):
         multiply.multiply(a, x, a_cols=3, x_rows=4)
     with pytest.raises(schema.ShapeError):
         multiply.multiply(a, x.withColumn("j", F.col("j") + 5000), "wide")
+
+
+def test_clusters_sum_large_whole_numbers_exactly(spark):
+    a, x = [(0, 0, 2**60), (0, 1, 3), (1, 1, 5)], [(0, 0, 1), (1, 0, 7), (1, 1, 2)]
+    da, dx = spark.createDataFrame(a, "i long, k long, v long"), spark.createDataFrame(x, "k long, j long, w long")
+    # Node 0 is in two clusters, node 1 in none.
+    twice = spark.createDataFrame([(0, 4), (0, 9)], "node long, cluster int")
+    assert table(multiply.clustered(da, dx, twice), "i", "j", "val") == plain_product(a, x)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_heavy_tiles_are_made_by_several_tasks(spark, whole):
+    a, x = noise(1, whole=whole), noise(2, 25, 12, whole=whole)
+    kind = "long" if whole else "double"
+    da, dx = spark.createDataFrame(a, f"i long, k long, v {kind}"), spark.createDataFrame(x, f"k long, j long, w {kind}")
+    layer = F.when(F.col("i") % 2 == 0, 0).otherwise(1)
+    for made in (tiles.products(da, dx, 7, whole, heavy=5), tiles.products(da, dx, 7, whole, layer, 2, 40), tiles.products(da, dx, 4096, whole)):
+        got, want = table(made, "i", "j", "val"), plain_product(a, x)
+        assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
