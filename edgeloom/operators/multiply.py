@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,42 +81,11 @@ def wide(a: DataFrame, x: DataFrame) -> DataFrame:
 
 
 def blocked(a: DataFrame, x: DataFrame, tile: int = TILE) -> DataFrame:
-    """Tiles of ``tile`` keys and rows: each pair of tiles that meet is multiplied as small matrices, and the
-    partial results are summed. A task holds a tile of A and the cells of X for its keys that one tile of columns
-    has, whatever the size of the whole. Numbers must be finite, as the zeros of a tile are multiplied, too."""
-    whole = _whole(a, x)
-    kind = "bigint" if whole else "double"
-    left = a.select(F.floor(F.col("k") / tile).alias("b"), F.floor(F.col("i") / tile).alias("bi"), "i", "k", F.col("v").cast(kind).alias("v"))
-    right = x.select(F.floor(F.col("k") / tile).alias("rb"), F.floor(F.col("j") / tile).alias("rj"), F.col("j").cast("long").alias("j"), F.col("k").alias("rk"), F.col("w").cast(kind).alias("w"))
-    # Which tiles meet, by the tiles that there are; then each side goes to the pairs that need it.
-    have_left = left.select(F.col("b").alias("tb"), F.col("bi").alias("ti")).distinct()
-    have_right = right.select(F.col("rb").alias("tk"), F.col("rj").alias("tj")).distinct()
-    pairs = have_left.join(have_right, F.col("tb") == F.col("tk")).select("tb", "ti", "tj")
-    again = pairs.select(F.col("tb").alias("ub"), F.col("ti").alias("ui"), F.col("tj").alias("uj"))
-    left = left.join(pairs, (F.col("b") == F.col("tb")) & (F.col("bi") == F.col("ti"))).select("tb", "ti", "tj", "i", "k", "v")
-    right = right.join(again, (F.col("rb") == F.col("ub")) & (F.col("rj") == F.col("uj"))).select("ub", "ui", "uj", "j", F.col("rk"), "w")
-
-    def multiplied(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:  # noqa: E741
-        if l.empty or r.empty:
-            return pd.DataFrame({"i": [], "j": [], "val": []}).astype({"i": "int64", "j": "int64"})
-        ks = np.intersect1d(l["k"], r["rk"])
-        l, r = l[l["k"].isin(ks)], r[r["rk"].isin(ks)]
-        i, ri = np.unique(l["i"], return_inverse=True)
-        j, cj = np.unique(r["j"], return_inverse=True)
-        number = np.int64 if whole else np.float64
-        m, n, hit_m, hit_n = (np.zeros(s, t) for s, t in (((len(i), len(ks)), number), ((len(ks), len(j)), number), ((len(i), len(ks)), np.float32), ((len(ks), len(j)), np.float32)))
-        lk, rk = np.searchsorted(ks, l["k"]), np.searchsorted(ks, r["rk"])
-        np.add.at(m, (ri, lk), l["v"].to_numpy())
-        np.add.at(n, (rk, cj), r["w"].to_numpy())
-        hit_m[ri, lk] = hit_n[rk, cj] = 1
-        p, q = np.nonzero(hit_m @ hit_n)
-        # Whole numbers are multiplied much faster as doubles, and exactly as long as no sum can pass 2^53.
-        reach = [max(-int(c.min(initial=0)), int(c.max(initial=0))) if whole else 0 for c in (m, n)]
-        product = m @ n if len(ks) * reach[0] * reach[1] >= 1 << 53 else m.astype(np.float64) @ n.astype(np.float64)
-        return pd.DataFrame({"i": i[p], "j": j[q], "val": product[p, q].astype(number)})
-
-    parts = left.groupBy("tb", "ti", "tj").cogroup(right.groupBy("ub", "ui", "uj")).applyInPandas(multiplied, f"i long, j long, val {kind}")
-    return parts.groupBy("i", "j").agg(F.sum("val").cast(kind).alias("val"))
+    """Tiles of ``tile`` rows by ``tile`` columns of the result, each made in one task from the cells of A and X whose
+    keys meet there, as small matrices where they are dense. Only cells are shuffled; a task holds the sums of one
+    tile, whatever the size of the whole."""
+    made = products(a, x, tile, _whole(a, x))
+    return made.select(F.col("i").cast(a.schema["i"].dataType), "j", "val")
 
 
 def dense(a: DataFrame, x: DataFrame, keys: int | None = None) -> DataFrame:

@@ -55,7 +55,7 @@ def spmm_wide(spark, d):
 
 def _aat(strategy: str) -> Query:
     def run(spark, d):
-        sp = supplier_part(spark, d)
+        sp = supplier_part(spark, d, "k" if strategy == "blocked" else None)
         return multiply.multiply(sp, transposed_features(sp), strategy)
 
     return run

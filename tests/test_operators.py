@@ -410,3 +410,20 @@ def test_heavy_tiles_are_made_by_several_tasks(spark, whole):
     for made in (tiles.products(da, dx, 7, whole, heavy=5), tiles.products(da, dx, 7, whole, layer, 2, 40), tiles.products(da, dx, 4096, whole)):
         got, want = table(made, "i", "j", "val"), plain_product(a, x)
         assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
+
+
+def test_tiles_take_any_numbers(spark):
+    inf = float("inf")
+    a = [(0, 0, 1.0), (0, 1, 2.0), (1, 0, inf), (2, 1, None), (2, 0, 3.0), (3, 2, None), (None, 0, 1.0), (-5, 1, 1.0)]
+    x = [(0, 0, 1.0), (0, 1, -1.0), (1, 0, 4.0), (1, 2, inf), (2, 0, 1.0), (None, 0, 9.0)]
+    da, dx = spark.createDataFrame(a, "i long, k long, v double"), spark.createDataFrame(x, "k long, j long, w double")
+    want = table(multiply.auto(da, dx), "i", "j", "val")
+    assert table(multiply.blocked(da, dx, tile=4), "i", "j", "val") == want and want[2, 2] is None and want[1, 1] == -inf
+    assert table(multiply.clustered(da, dx, spark.createDataFrame([(0, 1), (2, 1)], "node long, cluster int")), "i", "j", "val") == want
+
+
+def test_tiles_raise_where_a_sum_passes_long(spark):
+    a = spark.createDataFrame([(0, k, 2**62) for k in range(2)], "i long, k long, v long")
+    x = spark.createDataFrame([(0, 0, 1), (1, 0, 1), (1, 1, -1)], "k long, j long, w long")
+    with pytest.raises(Exception, match="range of long"):
+        multiply.blocked(a, x).collect()
