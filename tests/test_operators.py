@@ -427,3 +427,19 @@ def test_tiles_raise_where_a_sum_passes_long(spark):
     x = spark.createDataFrame([(0, 0, 1), (1, 0, 1), (1, 1, -1)], "k long, j long, w long")
     with pytest.raises(Exception, match="range of long"):
         multiply.blocked(a, x).collect()
+
+
+def test_merge_steps_over_tiles_and_pieces(spark, monkeypatch):
+    monkeypatch.setattr(stats, "MERGED", 7)
+    rng = random.Random(21)
+    a = sorted({(rng.randrange(-10, 20), rng.choice([5, 4095, 4096, 9000, -1, rng.randrange(-9000, 20000), rng.randrange(40)])) for _ in range(400)})
+    x = sorted({(rng.choice([5, 4095, 4096, 9000, -1, rng.randrange(-9000, 20000), rng.randrange(40)]), rng.randrange(25)) for _ in range(300)})
+    da = spark.createDataFrame([*((i, k, 1) for i, k in a), (None, 5, 1), (3, None, 1)], "i long, k long, v long")
+    dx = spark.createDataFrame([(k, j, 1) for k, j in x], "k long, j long, w long")
+    rows = stats.merge_steps(da, dx)
+    got = table(rows, "i", "j", "steps")
+    assert rows.count() == len(got) and set(got) == {(i, j) for i, k in a for m, j in x if k == m}
+    for (i, j), steps in got.items():
+        assert steps == two_pointers(sorted(k for r, k in a if r == i), sorted(k for k, c in x if c == j))
+    # Pairs are the result of the last step: none of them is shuffled.
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
