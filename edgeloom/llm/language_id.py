@@ -24,8 +24,11 @@ piece and language, is sent to all executors, so more than ``MOST_LANGS`` langua
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -329,13 +332,38 @@ def train(df: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str =
     chosen = own.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("lang", "text")
     words = chosen.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     langs = sorted(sizes)
-    totals: dict[bytes, np.ndarray] = {}
-    for r in words.toLocalIterator():
-        totals.setdefault(bytes(r["word"]), np.zeros(len(langs)))[langs.index(r["lang"])] += r["n"]
-    keys = sorted(totals)
+    keys, counts = tabled(((bytes(r["word"]), r["lang"], r["n"]) for r in words.toLocalIterator()), langs)
     if not keys:
         return [], np.zeros((0, 0))
-    return langs, fit(vocabulary(rank_file), keys, np.stack([totals[k] for k in keys]))
+    p = fit(vocabulary(rank_file), keys, counts)
+    del keys, counts
+    give_back()
+    return langs, p
+
+
+def tabled(found: Iterable[tuple[bytes, str, int]], langs: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """The words in order, and their counts, words x languages. While it reads, a word is a number and a count three."""
+    numbers: dict[bytes, int] = {}
+    at, of, n = array("q"), array("q"), array("d")
+    place = {lang: k for k, lang in enumerate(langs)}
+    for word, lang, count in found:
+        at.append(numbers.setdefault(word, len(numbers)))
+        of.append(place[lang])
+        n.append(count)
+    counts = np.zeros((len(numbers), len(langs)))
+    np.add.at(counts, (np.frombuffer(at, np.int64), np.frombuffer(of, np.int64)), np.frombuffer(n))
+    keys = sorted(numbers)
+    return keys, counts[[numbers[k] for k in keys]]
+
+
+def give_back() -> None:
+    """Memory that is free again goes back to the system, where the C library can do that; it would stay with the driver
+    for the rest of the session."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
 
 
 def predict(df: DataFrame, rank_file: str, langs: list[str], p: np.ndarray, text_col: str = "text", names: tuple[str, str] = ("__lang", "__score")) -> DataFrame:

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from itertools import product
 
@@ -141,3 +142,14 @@ def test_longest_pieces_of_the_public_vocabulary_are_used():
     p = lid.fit(index, words * 2, np.ones((4, 1)))
     longest = max(len(x) for x in words)
     assert index.all_in(words[0]).shape == (longest, min(longest, index.longest)) and np.allclose(p.sum(axis=0), 1)
+
+
+def test_counts_take_little_of_the_drivers_memory():
+    found = [(b"w%d" % (k % 30_000), "ab"[k // 30_000], k) for k in range(60_000)]
+    tracemalloc.start()
+    keys, counts = lid.tabled(((bytes(bytearray(w)), lang, n) for w, lang, n in found), ["a", "b"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert keys == sorted({w for w, _, _ in found}) and counts[keys.index(b"w7")].tolist() == [7, 30_007]
+    # An array for each word would take 200 bytes more.
+    assert peak < 300 * len(keys)
